@@ -6,18 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, html_extract, near_dedup, packing, sharding, sql, topk_search, url_filter, warc
 from .common import table
-from .near_dedup import near_duplicates
+
+#: The rules of the URL query, and hosts whose pages its list blocks.
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+LISTED = [("casino-win.example.org", "/"), ("spam-farm.example.org", "/")]
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents on 2-word shingles at Jaccard similarity 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back by boundary chains."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item of whose 5-word shingles a document contains 0.8 or more."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into bins of 8192 bytes, one piece of a source and of a copy class in each."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 contiguous shards of near equal bytes."""
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for every vector whose id is divisible by 100."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame(LISTED, "host string, path string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+_OPS = [op1_near_dedup, op2_warc, op4_decontaminate, op6_pack, op7_shard, op8_html_extract, op9_topk, op10_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup}
+    return {f.__name__: f for f in _OPS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)

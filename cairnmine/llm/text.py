@@ -105,6 +105,19 @@ def row_shingles(h: np.ndarray, first: np.ndarray, size: int, every: bool = Fals
         yield x if every else np.unique(x)
 
 
+def runs(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of ``size`` words inside one row."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    run = np.zeros(n, U)
+    for j in range(size):
+        run += h[j : j + n] * _STEP[j]
+    row = np.searchsorted(first, np.arange(n), "right") - 1
+    ok = np.arange(n) + size <= first[row + 1]
+    return mix(run[ok] + U(size)), row[ok]
+
+
 def shingle_sets(col: pa.Array, size: int, word_bytes: np.ndarray = NOT_SPACE) -> Iterator[np.ndarray]:
     data, off = string_buffers(col)
     for i, j in chunks(off):
