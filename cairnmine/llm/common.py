@@ -25,6 +25,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Edges of a graph that one task may finish (two longs each).
+LOCAL_EDGES = 500_000
+
+
 class Scratch:
     """Written tables that cut lineage. They are in the shared folder, so a lost executor loses nothing of them."""
 
@@ -81,17 +85,43 @@ def per_key(df: DataFrame, key: str, f: Callable[[Iterator[pa.Table]], Iterator[
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(lambda it: f(arrow_rows(it, key)), schema)
 
 
+def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one partition."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    t = pa.Table.from_batches(tables)
+    ids, ends = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+    a, b = np.split(ends.reshape(-1), 2)
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) for each id in an edge; component is the least id.
 
     Alternates large-star and small-star steps (each a grouped minimum and a join), which need a logarithmic number of
     rounds. Every round's edges are a written table; minima are written too, so both join sides are plain shuffles and
-    a hub's rows can be split by adaptive execution.
+    a hub's rows can be split by adaptive execution. Once at most ``LOCAL_EDGES`` distinct edges are left (counted, 8 MB)
+    one task finishes them in memory; the result is the same either way.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.write(e, "edges")
     before = None
     for _ in range(most_rounds):
+        if e.count() <= LOCAL_EDGES:
+            return scratch.write(e.coalesce(1).mapInArrow(_finish, "id long, component long"), "components")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         large = scratch.write(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
