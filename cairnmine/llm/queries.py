@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, near_dedup, packing, sharding, sql, topk_search, url_filter, warc
+import corpus_pipeline
+
+from . import decontaminate, html_extract, language_id, near_dedup, packing, sharding, sql, topk_search, toxicity, url_filter, warc
 from .common import table
 
 #: The rules of the URL query, and hosts whose pages its list blocks.
@@ -24,11 +26,29 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by compression distance, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item of whose 5-word shingles a document contains 0.8 or more."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; its metadata's language and its source are declared language and host."""
+    found = language_id.identify(language_id.of_documents(table(spark, sf_dir, "documents")))
+    return found.select(found["id"].alias("doc_id"), "lang", "posterior", "text_lang", "accepted")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages, with the markup's language, the address suffix and the host."""
+    found = language_id.identify(language_id.of_pages(table(spark, sf_dir, "pages")))
+    return found.select(found["id"].alias("page_id"), "lang", "posterior", "text_lang", "accepted")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into bins of 8192 bytes, one piece of a source and of a copy class in each."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -56,11 +76,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-_OPS = [op1_near_dedup, op2_warc, op4_decontaminate, op6_pack, op7_shard, op8_html_extract, op9_topk, op10_url_filter]
+_OPS = [op1_near_dedup, op2_warc, op3_toxicity, op4_decontaminate, op5_language_id, op6_pack, op7_shard, op8_html_extract, op9_topk, op10_url_filter, page_language]
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _OPS}
+    return {f.__name__: f for f in [*_OPS, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
