@@ -13,7 +13,7 @@ or if a text of 200 trigrams or more is far less likely under its best language
 not a language of the model at all).
 
 Training: trigram counts come from at most ``SAMPLE`` rows with a declared language, those with the smallest hashes of
-the text, ``SAMPLE_BYTES`` leading bytes each; a language needs ``LEAST_ROWS`` of them or 1 %. Scoring reads whole texts,
+the text (equal texts count once), ``SAMPLE_BYTES`` leading bytes each; a language needs ``LEAST_ROWS`` of them or 1 %. Scoring reads whole texts,
 and priors and confusion counts come from all rows. Only (L+1) x L confusion counts and L totals reach the driver.
 
 Scale: the text pass shuffles nothing and leaves a narrow table; counts are grouped with partial aggregation; that
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .common import Scratch
+from .common import Scratch, smallest_hashes
 from .url_filter import host_and_path
 
 BUCKETS, SAMPLE, SAMPLE_BYTES, LEAST_ROWS, MOST_LANGUAGES = 1 << 15, 4000, 8 << 10, 5, 64
@@ -81,9 +81,13 @@ class Model:
 
 
 def learn(rows: DataFrame) -> Model | None:
-    """A model from rows (text, declared)."""
-    known = rows.where("declared is not null and length(text) >= 3").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "declared", F.xxhash64("text").alias("h"))
-    sample = known.orderBy("h", "declared").limit(SAMPLE).select("text", "declared").toArrow()
+    """A model from rows (id, h, text, declared); h: hash of the text."""
+    known = rows.where("declared is not null and length(text) >= 3 and id is not null")
+    scratch = Scratch(rows.sparkSession)
+    narrow = scratch.write(known.groupBy("h").agg(F.min("id").alias("id")), "narrow")  # equal texts once
+    chosen = scratch.write(smallest_hashes(narrow, SAMPLE), "chosen")
+    texts = known.join(F.broadcast(chosen), ["id", "h"]).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "declared", "h")  # at most the sample's rows
+    sample = texts.toArrow().sort_by([("h", "ascending"), ("declared", "ascending")])
     declared = np.array(sample.column("declared").to_pylist(), object)
     names, times = np.unique(declared.astype(str), return_counts=True) if len(declared) else (np.array([]), np.array([]))
     enough = [(-int(k), str(v)) for v, k in zip(names, times) if k >= max(LEAST_ROWS, 0.01 * len(declared))]

@@ -13,7 +13,7 @@ windows without toxic segments have a difference of about 0. The curve is fitted
 sample is measured with dictionaries of the other half, then the final dictionaries are trained on all of it.
 
 Sample: of the labelled rows allowed for training, at most ``MOST_TOXIC`` toxic and ``MOST_ORDINARY`` ordinary documents,
-those with the smallest hashes of the text, of which at most ``MOST_BYTES`` leading bytes each train (scoring always
+those with the smallest hashes of the text (equal texts count once), of which at most ``MOST_BYTES`` leading bytes each train (scoring always
 reads whole texts). So the driver holds a bounded sample at any size of the corpus.
 
 Defined cases: null, empty or wordless texts have no window and get the curve's value at no evidence; without toxic or
@@ -23,7 +23,7 @@ toxic if one of them says so; repeated rows each get a row. Labels, language, so
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +33,10 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, smallest_hashes
+
 WINDOW, LEVEL, SHORTEST_MATCH, ORDINARY_BYTES, TOXIC_BYTES = 96, 8, 6, 32 << 10, 8 << 10
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 8000, 16 << 10
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 6000, 16 << 10
 RATIO, LEAST_SHARE, LEAST_CONTEXTS, SEGMENT = 20.0, 0.006, 3, (3, 32)
 THRESHOLD = 0.7
 _SPACES = bytes(i if chr(i).isalnum() and i < 128 or i >= 128 else 32 for i in range(256))
@@ -56,13 +58,18 @@ def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
 
 
 def contexts(texts: list[bytes]) -> Counter:
-    """How many different words precede each word."""
-    seen: dict[bytes, set] = defaultdict(set)
+    """How many different words precede each word. Of words with fewer than three occurrences: the occurrences."""
+    times = Counter(w for t in texts for w in t.split(b" "))
+    out = Counter({w: n for w, n in times.items() if n < 3})
+    seen: dict[bytes, set] = {w: set() for w, n in times.items() if n >= 3}
     for t in texts:
-        words = t.split(b" ")
-        for a, b in zip([b"", *words], words):
-            seen[b].add(a)
-    return Counter({k: len(v) for k, v in seen.items()})
+        before = b""
+        for w in t.split(b" "):
+            if w in seen:
+                seen[w].add(before)
+            before = w
+    out.update({w: len(v) for w, v in seen.items()})
+    return out
 
 
 def _content(segments: list[bytes], weight: Counter, most: int) -> bytes:
@@ -145,10 +152,15 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """A model from the labelled rows whose crc32(id as text) mod 3 is not 1."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(marks, "doc_id")
-    rows = rows.select("toxic", F.substring("text", 1, MOST_BYTES).alias("text"), F.xxhash64("text").alias("h"))
-    pick = lambda y, n: [plain(r["text"]) for r in rows.where(F.col("toxic") == y).orderBy("h", "text").limit(n).select("text").collect()]
-    return train(pick(1, MOST_TOXIC), pick(0, MOST_ORDINARY))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null").withColumn("h", F.xxhash64("text"))
+    scratch = Scratch(docs.sparkSession)
+    narrow = rows.select("doc_id", "h").join(marks, "doc_id")  # texts are hashed where they are read, not shuffled
+    narrow = scratch.write(narrow.groupBy("h").agg(F.max_by("doc_id", F.struct("toxic", "doc_id")).alias("doc_id"), F.max("toxic").alias("toxic")), "narrow")  # equal texts once
+    pick = lambda y, n: smallest_hashes(narrow.where(F.col("toxic") == y), n)
+    chosen = scratch.write(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_ORDINARY)), "chosen")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("toxic", "h", F.substring("text", 1, MOST_BYTES).alias("text"))  # at most the sample's rows
+    sample = sorted({(r["h"], r["text"], r["toxic"]) for r in texts.collect()})
+    return train(*[[plain(t) for _, t, toxic in sample if toxic == y] for y in (1, 0)])
 
 
 def _scores(shared, text_col: str):
