@@ -23,13 +23,20 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """Importing these modules registers their queries."""
+    from .plans import modelqueries, relational, tensorqueries  # noqa: F401
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["iat_user_freq"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
