@@ -40,7 +40,7 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: Costs of the classifier, in nats of log-odds for content.
-HARD, ARTICLE, GOOD_WORD, PLAIN, PER_CHAR, MOST_LENGTH, LINKS, HEADING = 40.0, 4.0, 2.0, -0.6, 1 / 120, 3.0, -5.0, 0.4
+HARD, ARTICLE, GOOD_WORD, PLAIN, PER_CHAR, MOST_LENGTH, LINKS, HEADING = 40.0, 4.0, 2.0, 0.5, 1 / 120, 3.0, -5.0, 0.4
 #: Capacities of smoothness edges: neighbours in the page, with the same parent, or with parents that share theirs.
 ADJACENT, SIBLINGS, COUSINS = 0.4, 0.8, 0.4
 

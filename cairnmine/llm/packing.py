@@ -30,7 +30,7 @@ CAPACITY, GROUP, STEP = 8192, 4096, 512
 
 
 class Bins:
-    """Open bins in ascending order of residual (equal residuals: the older first)."""
+    """Open bins in ascending order of residual (equal residuals: in the order in which bins came to them)."""
 
     def __init__(self, capacity: int, kinds: tuple[int, int]):
         self.capacity, self.n, self.room = capacity, 0, 64
