@@ -137,7 +137,7 @@ def _(spark, d):
     return monlad.anomalies(monlad.counts(_moves(spark, d), 50, 50, 100), 0.8, 0.5)
 
 
-@query("account_moves", "SELECT user_id AS acct, event_id AS seq, 0 AS side, CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END AS sign, value AS amount FROM events WHERE event_type IN ('purchase', 'signup', 'view')")
+@query("account_moves", "SELECT user_id AS acct, event_id AS seq, 0 AS side, CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END AS sign, value AS amount, CAST(NULL AS BIGINT) AS other FROM events WHERE event_type IN ('purchase', 'signup', 'view')")
 def _(spark, d):
     return _moves(spark, d)
 

@@ -137,7 +137,7 @@ def n_nodes(edges: DataFrame) -> int:
 def load_adjacency(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """(src, dst) of lines ``u v1 v2 ...``."""
     p = lines(spark, path).select(_parts(sep).alias("p"))
-    return p.select(F.col("p")[0].cast("long").alias("src"), F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).cast("long").alias("dst"))
+    return p.select(F.col("p")[0].cast("long").alias("src"), F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).cast("array<long>")).alias("dst"))
 
 
 def adjacency_lists(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:

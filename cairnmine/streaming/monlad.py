@@ -2,8 +2,8 @@
 
 Each account is a small state machine over its debits and credits in order. In a batch, accounts are grouped and sorted; on
 a stream the same step runs in ``applyInPandasWithState``. A transfer is a debit of its source and then a credit of its
-destination (a self-transfer nets to nothing before either check). When a source completes a fall, its destination's
-``events_in`` counts what led up to it; those are emitted as rows and summed.
+destination (a self-transfer nets to nothing before either check). When a source completes a fall, that counts for the
+transfer's destination too; those are emitted as rows and summed.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stats import iqr_bound, pareto_tail
+from ..tables import cut
 
 
 @dataclass
@@ -23,82 +24,85 @@ class Account:
     balance: float = 0.0
     low: float = 0.0
     high: float = 0.0
-    is_up: bool = False
+    direction: int = 0  # 1 after a rise, -1 after a fall, 0 before either
     pending: int = 0
     count: int = 0
     count_in: int = 0
 
-    def credit(self, amount: float, up: float) -> None:
-        self.balance += amount
-        if self.balance - self.low > up:
-            if not self.is_up:
-                self.high = self.balance
-            self.is_up = True
+    def step(self, sign: int, amount: float, up: float, down: float, eps: float) -> int | None:
+        """One move; the inflows that led up to it if it completes a fall, else None."""
+        self.balance += sign * amount
+        before, b = self.direction, self.balance
+        if sign > 0 and b - self.low > up:
+            self.direction = 1
             self.pending += 1
-        self.high = max(self.high, self.balance)
-
-    def debit(self, amount: float, down: float, eps: float) -> bool:
-        """True if this debit completes a fall."""
-        self.balance -= amount
-        fell = False
-        if self.high - self.balance > down and self.balance <= self.low + eps and self.is_up:
-            self.is_up = False
-            self.count += 1
-            self.count_in += self.pending
-            self.pending = 0
-            self.low = self.balance
-            fell = True
-        if not self.is_up:
-            self.low = min(self.low, self.balance)
-        return fell
-
-    def step(self, sign: int, amount: float, up: float, down: float, eps: float) -> bool:
-        if sign > 0:
-            self.credit(amount, up)
-            return False
-        return self.debit(amount, down, eps)
-
-
-STATE = "balance double, low double, high double, is_up boolean, pending long, count long, count_in long"
-RESULT = "acct long, balance double, count long, count_in long"
+        elif sign < 0 and self.high - b > down and b <= self.low + eps:
+            self.direction = -1
+        self.low, self.high = min(self.low, b), max(self.high, b)
+        if (before, self.direction) == (-1, 1):
+            self.high = b
+        if (before, self.direction) != (1, -1):
+            return None
+        self.low = b
+        done, self.pending = self.pending, 0
+        self.count += 1
+        self.count_in += done
+        return done
+
+
+STATE = "balance double, low double, high double, direction int, pending long, count long, count_in long"
+FALLS = "falls array<struct<other:long,n:long>>"
+RESULT = f"acct long, balance double, count long, count_in long, {FALLS}"
 
 
 def from_transfers(df: DataFrame) -> DataFrame:
-    """(acct, seq, side, sign, amount) of transfers (seq, src, dst, amount); transfers to oneself are left out."""
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("acct"), F.lit(-1).alias("sign")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("acct"), F.lit(1).alias("sign")))
-    x = df.where("src <> dst").select("seq", F.col("amount").cast("double").alias("amount"), F.explode(sides).alias("x"))
-    return x.select(F.col("x.acct").cast("long").alias("acct"), F.col("seq").cast("long").alias("seq"), "x.side", "x.sign", "amount")
+    """(acct, seq, side, sign, amount, other) of transfers (seq, src, dst, amount), the debit first. One to oneself moves
+    nothing, but both checks are made."""
+    moved = F.when(F.col("src") == F.col("dst"), F.lit(0.0)).otherwise(F.col("amount").cast("double"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("acct"), F.lit(-1).alias("sign"), F.col("dst").alias("other")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("acct"), F.lit(1).alias("sign"), F.col("src").alias("other")))
+    x = df.select("seq", moved.alias("amount"), F.explode(sides).alias("x"))
+    return x.select(F.col("x.acct").cast("long").alias("acct"), F.col("seq").cast("long").alias("seq"), "x.side", "x.sign", "amount", F.col("x.other").cast("long").alias("other"))
 
 
 def from_types(df: DataFrame, debit: str, credit: str, kind: str = "type") -> DataFrame:
-    """The same for single-account rows (seq, acct, type, amount); other types are ignored."""
+    """The same for single-account rows (seq, acct, type, amount); other types are ignored, and there is no other account."""
     sign = F.when(F.col(kind) == debit, -1).when(F.col(kind) == credit, 1)
-    return df.select(F.col("acct").cast("long").alias("acct"), F.col("seq").cast("long").alias("seq"), F.lit(0).alias("side"), sign.alias("sign"), F.col("amount").cast("double").alias("amount")).where("sign is not null")
+    return df.select(F.col("acct").cast("long").alias("acct"), F.col("seq").cast("long").alias("seq"), F.lit(0).alias("side"), sign.alias("sign"), F.col("amount").cast("double").alias("amount"), F.lit(None).cast("long").alias("other")).where("sign is not null")
+
+
+def _run(a: Account, pdf: pd.DataFrame, acct: int, up: float, down: float, eps: float) -> pd.DataFrame:
+    falls = []
+    pdf = pdf.sort_values(["seq", "side"])
+    for sign, amount, other in zip(pdf["sign"].tolist(), pdf["amount"].tolist(), pdf["other"].tolist()):
+        n = a.step(sign, amount, up, down, eps)
+        if n is not None and other is not None and other == other:
+            falls.append({"other": int(other), "n": n})
+    return pd.DataFrame({"acct": [acct], "balance": [a.balance], "count": [a.count], "count_in": [a.count_in], "falls": [falls]})
 
 
 def counts(moves: DataFrame, up: float, down: float, eps: float) -> DataFrame:
-    """(acct, balance, count, count_in) after all moves. A task holds one account's moves (five numbers each)."""
+    """(acct, balance, count, count_in, count_to, count_in_to) after all moves; the last two sum up the falls that transfers to
+    this account completed. A task holds one account's moves (six numbers each)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = Account()
-        pdf = pdf.sort_values(["seq", "side"])
-        for sign, amount in zip(pdf["sign"].tolist(), pdf["amount"].tolist()):
-            a.step(sign, amount, up, down, eps)
-        return pd.DataFrame({"acct": [pdf["acct"].iloc[0]], "balance": [a.balance], "count": [a.count], "count_in": [a.count_in]})
+        return _run(Account(), pdf, pdf["acct"].iloc[0], up, down, eps)
+
+    return with_destinations(cut(moves.groupBy("acct").applyInPandas(run, RESULT)))
+
 
-    return moves.groupBy("acct").applyInPandas(run, RESULT)
+def with_destinations(found: DataFrame) -> DataFrame:
+    to = found.select(F.explode("falls").alias("x")).groupBy(F.col("x.other").alias("acct")).agg(F.count("*").alias("count_to"), F.sum("x.n").alias("count_in_to"))
+    return found.drop("falls").join(to, "acct", "left").select("acct", "balance", "count", "count_in", F.coalesce("count_to", F.lit(0)).alias("count_to"), F.coalesce("count_in_to", F.lit(0)).alias("count_in_to"))
 
 
 def stream_counts(moves: DataFrame, up: float, down: float, eps: float) -> DataFrame:
-    """The same on a stream in update mode: one row for each account that a micro-batch touches."""
+    """The same on a stream in update mode: one row for each account that a micro-batch touches, with this batch's falls."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         a = Account(*state.get) if state.exists else Account()
-        rows = pd.concat(list(pdfs)).sort_values(["seq", "side"])
-        for sign, amount in zip(rows["sign"].tolist(), rows["amount"].tolist()):
-            a.step(sign, amount, up, down, eps)
+        out = _run(a, pd.concat(list(pdfs)), key[0], up, down, eps)
         state.update(astuple(a))
-        yield pd.DataFrame({"acct": [key[0]], "balance": [a.balance], "count": [a.count], "count_in": [a.count_in]})
+        yield out
 
     return moves.groupBy("acct").applyInPandasWithState(run, RESULT, STATE, "update", "NoTimeout")
 
