@@ -95,9 +95,12 @@ def learn(rows: DataFrame) -> Model | None:
     if not languages:
         return None
     data, off = tx.string_buffers(sample.column("text"))
-    code, row = _trigrams(data, off)
-    of = np.array([languages.index(v) if v in languages else -1 for v in declared])
-    counts = np.stack([np.bincount(code[of[row] == k], minlength=BUCKETS) for k in range(len(languages))], axis=1) + 0.05
+    of = np.array([languages.index(v) if v in languages else len(languages) for v in declared])
+    counts = np.full((BUCKETS, len(languages) + 1), 0.05)
+    for i, j in tx.chunks(off):
+        code, row = _trigrams(data, off[i : j + 1])
+        np.add.at(counts, (code, of[i:j][row]), 1)
+    counts = counts[:, : len(languages)]
     model = Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), (0.0, 1.0))
     n, ll = model.likelihoods(sample.column("text"))
     best = ll.max(axis=1)[n >= 200]

@@ -24,7 +24,7 @@ toxic if one of them says so; repeated rows each get a row. Labels, language, so
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .common import Scratch, smallest_hashes
 
 WINDOW, LEVEL, SHORTEST_MATCH, ORDINARY_BYTES, TOXIC_BYTES = 96, 8, 6, 32 << 10, 8 << 10
@@ -57,18 +58,30 @@ def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
             at = to
 
 
-def contexts(texts: list[bytes]) -> Counter:
-    """How many different words precede each word. Of words with fewer than three occurrences: the occurrences."""
-    times = Counter(w for t in texts for w in t.split(b" "))
-    out = Counter({w: n for w, n in times.items() if n < 3})
-    seen: dict[bytes, set] = {w: set() for w, n in times.items() if n >= 3}
+def _hashes(part: bytes) -> np.ndarray:
+    return tx.words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))[0]
+
+
+def contexts(texts: list[bytes], also: Iterable[bytes] = ()) -> Counter:
+    """How many different words precede each word that occurs three times or more; words of ``also`` that are rarer count
+    their occurrences. Rare words are told apart by hashes, as Python objects for all of them would not be small."""
+    parts = [_hashes(b" ".join(texts[i : i + 64])) for i in range(0, len(texts), 64)]
+    known, of, times = np.unique(np.concatenate([np.zeros(0, tx.U), *parts]), return_inverse=True, return_counts=True)
+    frequent = iter((times[of] >= 3).tolist())
+    seen: dict[bytes, set] = {}
     for t in texts:
         before = b""
-        for w in t.split(b" "):
-            if w in seen:
-                seen[w].add(before)
+        for w in t.split():
+            if next(frequent):
+                seen.setdefault(w, set()).add(before)
             before = w
-    out.update({w: len(v) for w, v in seen.items()})
+    out = Counter({w: len(v) for w, v in seen.items()})
+    for w in also:
+        if w not in out:
+            h = _hashes(w)[0]
+            at = int(np.searchsorted(known, h))
+            if at < len(known) and known[at] == h:
+                out[w] = int(times[at])
     return out
 
 
@@ -89,7 +102,8 @@ class Model:
 
     @classmethod
     def dictionaries(cls, toxic: list[bytes], ordinary: list[bytes]) -> Model:
-        t, o = contexts(toxic), contexts(ordinary)
+        t = contexts(toxic)
+        o = contexts(ordinary, t)
         t_size, o_size = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
         least = max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
         typical = [s for s, n in t.items() if n >= least and SEGMENT[0] <= len(s) <= SEGMENT[1] and (n + 0.5) / t_size > RATIO * (o[s] + 0.5) / o_size]
