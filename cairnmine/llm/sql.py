@@ -51,3 +51,20 @@ f AS (SELECT page_id, h || p AS rule, v, named FROM x JOIN rules ON (host = h OR
 b AS (SELECT page_id, arg_max(rule, length(rule)) FILTER (named) AS rule, arg_max(v, length(rule)) FILTER (named) AS v, max(v) FILTER (NOT named) AS l FROM f GROUP BY page_id)
 SELECT x.page_id, host, path, b.rule, coalesce(b.v, b.l, 'allow') AS verdict FROM x LEFT JOIN b USING (page_id)
 """
+
+SQL["op2_warc"] = r"""
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1)::INTEGER, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
+FROM p JOIN m USING (h)
+"""
+
+SQL["op7_shard"] = r"""
+WITH tab AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(len(h) // 2)]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM d, tab),
+s AS (SELECT *, sum(size) OVER o AS e, row_number() OVER o - 1 AS at_row, sum(size) OVER () AS total FROM b WINDOW o AS (ORDER BY doc_id, crc, size)),
+p AS (SELECT *, least(23, (2 * e - size) * 24 // (2 * total)) AS shard FROM s)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, at_row - min(at_row) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM p
+"""
