@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..tables import cut
+
 
 def dictionary(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(label, id): ids 0.. by first appearance in ``order``; several columns share one id space, earlier columns first.
@@ -21,13 +23,27 @@ def dictionary(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> D
     return number(first, ["at", "label"], "id").select("label", "id")
 
 
-def number(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """A gapless number from 0 in a total order: ranges, counts by range, offsets. No task holds more than one range."""
-    ranged = df.repartitionByRange(*order).withColumn("_num_p", F.spark_partition_id())
-    own = ranged.withColumn("_num_k", F.row_number().over(W.partitionBy("_num_p").orderBy(*order)))
-    sizes = ranged.groupBy("_num_p").agg(F.count("*").alias("_num_c"))
-    before = sizes.select("_num_p", F.coalesce(F.sum("_num_c").over(W.orderBy("_num_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_num_b"))
-    return own.join(before, "_num_p").withColumn(name, (F.col("_num_b") + F.col("_num_k") - 1).cast("long")).drop("_num_p", "_num_k", "_num_b")
+def prefix_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums (the row included) in a total order: sums inside ranges, plus the totals of the ranges before.
+
+    The ranges are a written table, so that both uses see the same ones; no task holds more than one range, and the totals
+    are one row for each range.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns({k: (F.col(c) if isinstance(c, str) else c) for k, c in zip(keys, order)} | {f"_v{i}": c for i, c in enumerate(sums.values())})
+    ranged = cut(keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    upto = W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    n = len(sums)
+    totals = ranged.groupBy("_part").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(n)])
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(n)])
+    own = ranged.select("*", *[F.sum(f"_v{i}").over(upto).alias(f"_r{i}") for i in range(n)]).join(offsets, "_part")
+    return own.select(*df.columns, *[(F.col(f"_r{i}") + F.col(f"_b{i}")).alias(name) for i, name in enumerate(sums)])
+
+
+def number(df: DataFrame, order: Sequence[str | Column], name: str = "id") -> DataFrame:
+    """A gapless number from 0 in a total order."""
+    return prefix_sums(df, order, {name: F.lit(1).cast("long")}).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def encode(df: DataFrame, dic: DataFrame, column: str, out: str) -> DataFrame:

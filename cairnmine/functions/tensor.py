@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .encode import number
+
 #: Element types and their Spark counterparts (unsigned bytes and half floats widen).
 DTYPES = {"int8": "byte", "uint8": "short", "short": "short", "int16": "short", "int32": "int", "int64": "long", "float16": "float", "float32": "float", "float64": "double", "complex64": "struct<re:float,im:float>", "complex128": "struct<re:double,im:double>"}
 _RANK = ["int8", "uint8", "int16", "int32", "int64", "float16", "float32", "float64", "complex64", "complex128"]
@@ -578,7 +580,7 @@ def unique(t: Tensor) -> DataFrame:
 def unique_inverse(t: Tensor) -> Tensor:
     """Each cell's position among the sorted distinct values."""
     _need_dense(t, "unique_inverse")
-    ranks = t.df.select("v").distinct().withColumn("k", F.row_number().over(W.orderBy("v")).cast("long") - 1)
+    ranks = number(t.df.select("v").distinct(), ["v"], "k")
     return Tensor(t.df.join(ranks, "v").select(*t.idx, F.col("k").alias("v")), t.shape, True)
 
 

@@ -214,18 +214,24 @@ def overlap(found: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select(F.coalesce("kind", F.lit("all")).alias("kind"), ratio(p).alias("precision"), ratio(r).alias("recall"), ratio(F.try_divide(2 * F.col("x"), F.col("nf") + F.col("nt"))).alias("f1"), ratio(F.try_divide(F.col("x"), F.col("nf") + F.col("nt") - F.col("x"))).alias("jaccard"))
 
 
-def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", v: str = "v") -> DataFrame:
-    """(query, id, similarity): the k most similar others by cosine or Pearson; ``queries`` is a small stated set."""
+def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", v: str = "v", block: int = 4096) -> DataFrame:
+    """(query, id, similarity): the k most similar others by cosine or Pearson for a stated set of queries, which meets the
+    vectors in blocks of about ``block`` (the only rows that are broadcast)."""
     x = F.col(v).cast("array<double>")
     if metric == "pearson":
         mean = F.aggregate(x, F.lit(0.0), lambda a, e: a + e) / F.size(v)
         x = F.transform(x, lambda e: e - mean)
     unit = lambda df, i, name: df.select(F.col(id_col).alias(i), x.alias("_x")).select(i, F.transform("_x", lambda e: F.try_divide(e, F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, b: a + b * b)))).alias(name))
-    pairs = unit(vectors, "id", "a").join(F.broadcast(unit(queries, "query", "b")), F.col("id") != F.col("query"))
-    s = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, e: t + e)
-    scored = pairs.select("query", "id", s.alias("similarity"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
+        pairs = unit(vectors, "id", "a").join(F.broadcast(unit(own, "query", "b")), F.col("id") != F.col("query"))
+        s = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, e: t + e)
+        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+        part = pairs.select("query", "id", s.alias("similarity")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def pairs_above(pairs: DataFrame, least: float, value: str = "similarity") -> DataFrame:

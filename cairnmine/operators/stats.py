@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..functions.encode import number, prefix_sums
 
 
 def iqr_bound(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
@@ -45,8 +46,6 @@ def pareto_tail(df: DataFrame, c: str, top: float = 0.9, p: float = 0.9) -> Data
 
 def largest_gap_cut(df: DataFrame, score: str, tie: str) -> DataFrame:
     """Rows above the largest fall between neighbours in descending order of score (first such gap)."""
-    from ..functions.encode import number
-
     ranked = number(df.withColumn("_neg", -F.col(score)), ["_neg", tie], "_k").drop("_neg")
     gap = ranked.alias("a").join(ranked.select((F.col("_k") - 1).alias("_k"), F.col(score).alias("_next")), "_k").select("_k", (F.col(score) - F.col("_next")).alias("g"))
     at = gap.agg(F.max_by("_k", F.struct("g", -F.col("_k"))).alias("_at"))
@@ -56,8 +55,7 @@ def largest_gap_cut(df: DataFrame, score: str, tie: str) -> DataFrame:
 def average_rank(df: DataFrame, score: str, out: str) -> DataFrame:
     """Descending rank, ties at their mean. Ranks come from counts by value, so equal scores are one row."""
     n = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    above = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.select("_s", (above + (F.col("_n") + 1) / 2).alias(out))
+    ranks = prefix_sums(n, [-F.col("_s")], {"_upto": F.col("_n")}).select("_s", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(score).eqNullSafe(F.col("_s"))).drop("_s")
 
 

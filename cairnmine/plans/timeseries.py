@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.encode import prefix_sums
+
 
 def warp_cost(model: np.ndarray, data: np.ndarray, band: int | None = None) -> tuple[float, list[tuple[int, int]]]:
     """(cost, path) of matching two (length, dims) arrays: squared distances, plus std(model) log2(M) for a repeated data
@@ -143,8 +145,7 @@ def segment_scores(df: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame) -> DataFrame:
     """(auc_roc, auc_pr, best_f1, threshold) of rows (label 0/1, score); ranks come from counts by score."""
     by = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    up = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = by.select("score", "p", "n", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("k"))
+    c = prefix_sums(by, [-F.col("score")], {"tp": F.col("p"), "k": F.col("n")})
     t = c.crossJoin(by.agg(F.sum("p").alias("all_p"), F.sum(F.col("n") - F.col("p")).alias("all_n")))  # one row
     fp, neg = F.col("k") - F.col("tp"), F.col("n") - F.col("p")
     roc = F.sum(neg * (F.col("tp") - F.col("p") / 2)) / F.max(F.col("all_p") * F.col("all_n"))

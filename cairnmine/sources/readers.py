@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
+
+from ..functions.encode import number
 
 #: Column types by name or Python type; whatever else is a string.
 TYPES = {int: "long", float: "double", str: "string", "int": "long", "float": "double", "str": "string", np.int64: "long", np.float64: "double"}
@@ -171,7 +172,7 @@ def load_values(spark: SparkSession, path: str, dtype="str") -> DataFrame:
 def load_matrix(spark: SparkSession, path: str, sep: str | None = None, dtype="float") -> DataFrame:
     """(pos, v array): rows of a text matrix in order of lines."""
     rows = lines(spark, path).select(_parts(sep).cast(f"array<{type_of(dtype)}>").alias("v"), F.monotonically_increasing_id().alias("at"))
-    return rows.select((F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("pos"), "v")
+    return number(rows, ["at"], "pos").select("pos", "v")
 
 
 def load_edge_properties(spark: SparkSession, path: str, dtype="int") -> DataFrame:
@@ -207,8 +208,8 @@ def load_matricized(spark: SparkSession, path: str, sum_out: Sequence[int] = (),
 def load_stages(spark: SparkSession, path: str, stages: dict[str, Sequence[int]], sep: str = "\t") -> DataFrame:
     """(stage, pos, v array<double>): a wide text table without its id column, its rows dealt to named stages by position."""
     rows = lines(spark, path).select(F.split("value", _quoted(sep)).alias("p"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.select((F.row_number().over(W.orderBy("at")) - 1).alias("pos"), F.slice("p", 2, F.size("p")).cast("array<double>").alias("v"))
-    of = spark.createDataFrame([(s, int(i)) for s, xs in stages.items() for i in xs], "stage string, pos int")
+    rows = number(rows, ["at"], "pos").select("pos", F.slice("p", 2, F.size("p")).cast("array<double>").alias("v"))
+    of = spark.createDataFrame([(s, int(i)) for s, xs in stages.items() for i in xs], "stage string, pos long")
     return rows.join(F.broadcast(of), "pos").select("stage", F.col("pos").cast("long").alias("pos"), "v")  # as many rows as named positions
 
 
