@@ -4,12 +4,14 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from cairnmine import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"cubeflow_plus", "beatlex_segments", "eaglemine_labels"}
+#: Their operators have tests of their own in test_models.py.
+SLOW = {"cubeflow_plus", "beatlex_segments", "eaglemine_labels", "fraudar_block", "specgreedy_block", "eigenspokes", "spectral_block", "holoscope_block", "holoscope_signals_block", "hits_scores", "core_numbers", "dpgs_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,7 @@ def duck(sf):
 def cell(v):
     if isinstance(v, (list, np.ndarray)):
         return "[" + ",".join(map(cell, v)) + "]"
-    if v is None or isinstance(v, (float, np.floating)) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, (float, np.floating)) and math.isnan(v):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
