@@ -35,10 +35,12 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main bo
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus disclaimer dropdown footer footnote-nav gdpr header login masthead menu menus modal "
-    "nav navbar navigation navi newsletter notice notices overlay pager pagination paging popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising banner alert breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus disclaimer dropdown footer footnote-nav gdpr header login masthead menu menus modal "
+    "nav navbar navigation navi newsletter notice notices overlay pager pagination paging popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+HEADER_WORDS = frozenset("header masthead banner".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+OUTSIDE, INSIDE = BOILER_WORDS, BOILER_WORDS - HEADER_WORDS
 #: Costs of the classifier, in nats of log-odds for content.
 HARD, ARTICLE, GOOD_WORD, PLAIN, PER_CHAR, MOST_LENGTH, LINKS, HEADING = 40.0, 4.0, 2.0, 0.5, 1 / 120, 3.0, -5.0, 0.4
 #: Capacities of smoothness edges: neighbours in the page, with the same parent, or with parents that share theirs.
@@ -81,7 +83,8 @@ def _open(tag: str, attrs: str, up: Element) -> Element:
                 boiler |= value in BOILER_ROLES
             elif name in ("class", "id"):
                 found = _WORD.findall(value)
-                if tag not in ("html", "body", "article", "main") and not BOILER_WORDS.isdisjoint(found):
+                words = OUTSIDE if up.content < 2 else INSIDE  # an article's own head is part of it
+                if tag not in ("html", "body", "article", "main") and not words.isdisjoint(found):
                     boiler = True
                 elif not CONTENT_WORDS.isdisjoint(found):
                     content = max(content, 1)

@@ -47,6 +47,7 @@ CASES = [
     (None, ""), ("", ""), ("just text &amp; more", "just text & more"),
     ("<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>One <b>two</b>\n three<br>four</p><p>Short.</p><script>var x='<p>no</p>'</script></article><footer>f</footer></body></html>", "Head\n\nOne two three four\n\nShort."),
     ("<div class='cookie-notice'>We use cookies</div><main><p>Body &eacute;&#233;&nbsp;x</p><form><p>Name</p></form><aside>side</aside></main><section id=comments><p>great post, a long comment that says many things about it</p></section>", "Body éé x"),
+    ("<div class='site-header'>Site</div><article><header class='article-header'><h1>Title</h1><p class='byline'>By A</p></header><p>Text</p><div class='article-comments'><p>reader says</p></div><footer>tags</footer></article><div class='alert'>note</div>", "Title\n\nBy A\n\nText"),
     ("<article><p>a<p>b<ul><li>c<li>d</ul><table><tr><td>e<td>f</table></article>", "a\n\nb\n\nc\n\nd\n\ne\n\nf"),
     ("<article><p>cut off <a hre", "cut off"), ("<article><p>x<!-- never closed <p>y", "x"), ("<article>a < b <3 c</article>", "a < b <3 c"),
 ]
