@@ -37,7 +37,7 @@ from . import text as tx
 from .common import Scratch, smallest_hashes
 
 WINDOW, LEVEL, SHORTEST_MATCH, ORDINARY_BYTES, TOXIC_BYTES = 96, 8, 6, 32 << 10, 8 << 10
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 6000, 16 << 10
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 3500, 8 << 10
 RATIO, LEAST_SHARE, LEAST_CONTEXTS, SEGMENT = 20.0, 0.006, 3, (3, 32)
 THRESHOLD = 0.7
 _SPACES = bytes(i if chr(i).isalnum() and i < 128 or i >= 128 else 32 for i in range(256))
@@ -67,14 +67,16 @@ def contexts(texts: list[bytes], also: Iterable[bytes] = ()) -> Counter:
     their occurrences. Rare words are told apart by hashes, as Python objects for all of them would not be small."""
     parts = [_hashes(b" ".join(texts[i : i + 64])) for i in range(0, len(texts), 64)]
     known, of, times = np.unique(np.concatenate([np.zeros(0, tx.U), *parts]), return_inverse=True, return_counts=True)
-    frequent = iter((times[of] >= 3).tolist())
+    del parts
+    frequent = (times >= 3)[of]
+    del of
     seen: dict[bytes, set] = {}
+    at = 0
     for t in texts:
-        before = b""
-        for w in t.split():
-            if next(frequent):
-                seen.setdefault(w, set()).add(before)
-            before = w
+        words = t.split()
+        for i in np.flatnonzero(frequent[at : at + len(words)]).tolist():
+            seen.setdefault(words[i], set()).add(hash(words[i - 1]) if i else 0)
+        at += len(words)
     out = Counter({w: len(v) for w, v in seen.items()})
     for w in also:
         if w not in out:
@@ -173,8 +175,11 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     pick = lambda y, n: smallest_hashes(narrow.where(F.col("toxic") == y), n)
     chosen = scratch.write(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_ORDINARY)), "chosen")
     texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("toxic", "h", F.substring("text", 1, MOST_BYTES).alias("text"))  # at most the sample's rows
-    sample = sorted({(r["h"], r["text"], r["toxic"]) for r in texts.collect()})
-    return train(*[[plain(t) for _, t, toxic in sample if toxic == y] for y in (1, 0)])
+    sample = texts.toArrow().sort_by([("h", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+    own: dict[int, list[bytes]] = {0: [], 1: []}
+    for t, y in zip(sample.column("text"), sample.column("toxic").to_pylist()):
+        own[y].append(plain(t.as_py()))
+    return train(*[[t for k, t in enumerate(own[y]) if not k or t != own[y][k - 1]] for y in (1, 0)])
 
 
 def _scores(shared, text_col: str):
