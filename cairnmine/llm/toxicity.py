@@ -13,8 +13,9 @@ windows without toxic segments have a difference of about 0. The curve is fitted
 sample is measured with dictionaries of the other half, then the final dictionaries are trained on all of it.
 
 Sample: of the labelled rows allowed for training, at most ``MOST_TOXIC`` toxic and ``MOST_ORDINARY`` ordinary documents,
-those with the smallest hashes of the text (equal texts count once), of which at most ``MOST_BYTES`` leading bytes each train (scoring always
-reads whole texts). So the driver holds a bounded sample at any size of the corpus.
+those with the smallest hashes of the text (equal texts count once). Only rows are left out: chosen texts train and calibrate
+whole, as they are scored. They stay in a written table; words are counted and windows measured by executors, so the driver
+holds the segments of the dictionaries and one row of features for each chosen text.
 
 Defined cases: null, empty or wordless texts have no window and get the curve's value at no evidence; without toxic or
 without ordinary training rows every score is 0; labels that are null train nothing; a document with several labels is
@@ -23,21 +24,20 @@ toxic if one of them says so; repeated rows each get a row. Labels, language, so
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import text as tx
 from .common import Scratch, smallest_hashes
 
 WINDOW, LEVEL, SHORTEST_MATCH, ORDINARY_BYTES, TOXIC_BYTES = 96, 8, 6, 32 << 10, 8 << 10
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 3500, 8 << 10
+MOST_TOXIC, MOST_ORDINARY, WORDS_A_BATCH = 1500, 3500, 1 << 16
 RATIO, LEAST_SHARE, LEAST_CONTEXTS, SEGMENT = 20.0, 0.006, 3, (3, 32)
 THRESHOLD = 0.7
 _SPACES = bytes(i if chr(i).isalnum() and i < 128 or i >= 128 else 32 for i in range(256))
@@ -58,44 +58,41 @@ def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
             at = to
 
 
-def _hashes(part: bytes) -> np.ndarray:
-    return tx.words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))[0]
-
-
-def contexts(texts: list[bytes], also: Iterable[bytes] = ()) -> Counter:
-    """How many different words precede each word that occurs three times or more; words of ``also`` that are rarer count
-    their occurrences. Rare words are told apart by hashes, as Python objects for all of them would not be small."""
-    parts = [_hashes(b" ".join(texts[i : i + 64])) for i in range(0, len(texts), 64)]
-    known, of, times = np.unique(np.concatenate([np.zeros(0, tx.U), *parts]), return_inverse=True, return_counts=True)
-    del parts
-    frequent = (times >= 3)[of]
-    del of
-    seen: dict[bytes, set] = {}
-    at = 0
-    for t in texts:
-        words = t.split()
-        for i in np.flatnonzero(frequent[at : at + len(words)]).tolist():
-            seen.setdefault(words[i], set()).add(hash(words[i - 1]) if i else 0)
-        at += len(words)
-    out = Counter({w: len(v) for w, v in seen.items()})
-    for w in also:
-        if w not in out:
-            h = _hashes(w)[0]
-            at = int(np.searchsorted(known, h))
-            if at < len(known) and known[at] == h:
-                out[w] = int(times[at])
-    return out
-
-
-def _content(segments: list[bytes], weight: Counter, most: int) -> bytes:
+def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, half, word, before) for each word of the sample; the first word of a text has an empty one before it."""
+    for b in batches:
+        for toxic, half, data in zip(b.column("toxic").to_pylist(), b.column("half").to_pylist(), b.column("plain")):
+            words = data.as_py().split()
+            before = [b"", *words[:-1]]
+            for i in range(0, len(words), WORDS_A_BATCH):
+                w = pa.array(words[i : i + WORDS_A_BATCH], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(w), pa.int32()), pa.array([half] * len(w), pa.int32()), w, pa.array(before[i : i + WORDS_A_BATCH], pa.binary())], ["toxic", "half", "word", "before"])
+
+
+def count_words(sample: DataFrame) -> DataFrame:
+    """For each word how often it occurs (n) and how many different words precede it (c), by label y and part j of the
+    sample: n{y}_{j} and c{y}_{j}, where part 2 is both halves."""
+    pairs = sample.mapInArrow(_mentions, "toxic int, half int, word binary, before binary")
+    pairs = pairs.groupBy("word", "toxic", F.xxhash64("before").alias("before")).agg(*[F.count_if(F.col("half") == j).alias(f"n{j}") for j in range(2)]).withColumn("n2", F.col("n0") + F.col("n1"))
+    own = [(F.when(F.col("toxic") == y, F.col(f"n{j}")).otherwise(0), f"{y}_{j}") for y in range(2) for j in range(3)]
+    return pairs.groupBy("word").agg(*[F.sum(n).alias(f"n{k}") for n, k in own], *[F.count_if(n > 0).alias(f"c{k}") for n, k in own])
+
+
+def _content(segments: list[Row], most: int) -> bytes:
     out, n = [], 0
-    for s in sorted(segments, key=lambda s: (-weight[s] * (len(s) + 1), s)):
+    for s, _ in sorted(((bytes(r.word), r.weight) for r in segments), key=lambda x: (-x[1] * (len(x[0]) + 1), x[0])):
         if (n := n + len(s) + 1) > most:
             break
         out.append(s)
     return b" " + b" ".join(reversed(out)) + b" "
 
 
+def _heaviest(words: DataFrame, weight: Column, most: int) -> list[Row]:
+    """The words that can be among the first ``most`` bytes."""
+    rows = words.select("word", weight.alias("weight")).where("weight > 0")
+    return rows.orderBy((-F.col("weight") * (F.length("word") + 1)), "word").limit(most // 2 + 1).collect()
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -103,14 +100,15 @@ class Model:
     weights: tuple[float, ...] | None = None  # of the curve: the constant, then one for each feature
 
     @classmethod
-    def dictionaries(cls, toxic: list[bytes], ordinary: list[bytes]) -> Model:
-        t = contexts(toxic)
-        o = contexts(ordinary, t)
-        t_size, o_size = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
-        least = max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
-        typical = [s for s, n in t.items() if n >= least and SEGMENT[0] <= len(s) <= SEGMENT[1] and (n + 0.5) / t_size > RATIO * (o[s] + 0.5) / o_size]
-        base = _content(list(o), o, ORDINARY_BYTES)
-        return cls(base, _content(typical, t, TOXIC_BYTES) + base)
+    def dictionaries(cls, words: DataFrame, docs: dict[tuple[int, int], int], sizes: dict[tuple[int, int], int], part: int) -> Model:
+        """From the words of part 0, 1 or 2 (both), and how many documents and bytes it has by label; an empty half gives way to both."""
+        t, o = [part if docs[y, part] else 2 for y in (1, 0)]
+        toxic, known = F.col(f"c1_{t}"), F.col(f"n1_{t}") >= 3
+        usual = F.when(F.col(f"n0_{o}") >= 3, F.col(f"c0_{o}")).when(known, F.col(f"n0_{o}")).otherwise(0)  # rarer words of toxic text count their occurrences
+        least = max(LEAST_CONTEXTS, LEAST_SHARE * docs[1, t])
+        typical = words.where(known & (toxic >= least) & F.length("word").between(*SEGMENT) & ((toxic + 0.5) / (sizes[1, t] + 1) > RATIO * (usual + 0.5) / (sizes[0, o] + 1)))
+        base = _content(_heaviest(words, usual, ORDINARY_BYTES), ORDINARY_BYTES)
+        return cls(base, _content(_heaviest(typical, toxic, TOXIC_BYTES), TOXIC_BYTES) + base)
 
     def compressors(self) -> tuple[zs.ZstdCompressor, zs.ZstdCompressor]:
         out = []
@@ -146,20 +144,37 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def train(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
-    if not toxic or not ordinary:
+def _features_by(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [m.compressors() for m in shared.value]
+        for b in batches:
+            x = [features(t.as_py(), own[k]) for t, k in zip(b.column("plain"), b.column("half").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("h", "toxic", "half")], pa.array(x, pa.list_(pa.float64()))], ["h", "toxic", "half", "x"])
+
+    return run
+
+
+def train(sample: DataFrame, scratch: Scratch) -> Model | None:
+    """A model from rows (h, toxic, half, plain), whose texts are read where they are."""
+    seen = sample.groupBy("toxic", "half").agg(F.count("*").alias("n"), F.sum(F.length("plain")).alias("size")).collect()
+    docs, sizes = [{(y, j): sum(r[c] for r in seen if r["toxic"] == y and j in (r["half"], 2)) for y in range(2) for j in range(3)} for c in ("n", "size")]
+    if not docs[1, 2] or not docs[0, 2]:
         return None
-    xs, ys = [], []
-    for k in range(2):
-        half = Model.dictionaries(toxic[1 - k :: 2] or toxic, ordinary[1 - k :: 2] or ordinary).compressors()
-        for own, label in ((toxic[k::2], 1.0), (ordinary[k::2], 0.0)):
-            xs += [features(t, half) for t in own]
-            ys += [label] * len(own)
-    model = Model.dictionaries(toxic, ordinary)
-    model.weights = _fit(np.array(xs), np.array(ys))
+    words = scratch.write(count_words(sample), "words")
+    halves = [Model.dictionaries(words, docs, sizes, 1 - k) for k in range(2)]
+    rows = sample.mapInArrow(_features_by(sample.sparkSession.sparkContext.broadcast(halves)), "h long, toxic int, half int, x array<double>").collect()
+    rows.sort(key=lambda r: (r["half"], -r["toxic"], r["h"]))
+    model = Model.dictionaries(words, docs, sizes, 2)
+    model.weights = _fit(np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
     return model
 
 
+def _plain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("h", "toxic", "half")], pa.array([plain(b.column("text")[i].as_py())], pa.binary())], ["h", "toxic", "half", "plain"])
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -173,13 +188,13 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     narrow = rows.select("doc_id", "h").join(marks, "doc_id")  # texts are hashed where they are read, not shuffled
     narrow = scratch.write(narrow.groupBy("h").agg(F.max_by("doc_id", F.struct("toxic", "doc_id")).alias("doc_id"), F.max("toxic").alias("toxic")), "narrow")  # equal texts once
     pick = lambda y, n: smallest_hashes(narrow.where(F.col("toxic") == y), n)
-    chosen = scratch.write(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_ORDINARY)), "chosen")
-    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("toxic", "h", F.substring("text", 1, MOST_BYTES).alias("text"))  # at most the sample's rows
-    sample = texts.toArrow().sort_by([("h", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
-    own: dict[int, list[bytes]] = {0: [], 1: []}
-    for t, y in zip(sample.column("text"), sample.column("toxic").to_pylist()):
-        own[y].append(plain(t.as_py()))
-    return train(*[[t for k, t in enumerate(own[y]) if not k or t != own[y][k - 1]] for y in (1, 0)])
+    halves = (F.row_number().over(W.partitionBy("toxic").orderBy("h")) % 2).alias("half")
+    chosen = scratch.write(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_ORDINARY)).select("*", halves), "chosen")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "toxic", "half", "text")  # whole; at most the sample's rows
+    sample = scratch.write(texts.mapInArrow(_plain_rows, "h long, toxic int, half int, plain binary"), "sample")
+    if sample.count() > chosen.count():  # repeated rows
+        sample = scratch.write(sample.dropDuplicates(["h"]), "sample")
+    return train(sample, scratch)
 
 
 def _scores(shared, text_col: str):

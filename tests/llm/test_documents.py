@@ -210,6 +210,22 @@ def test_toxicity_nasty(spark, nasty, nothing):
     assert {r.score for r in toxicity.score(nasty, None).collect()} == {0.0}
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    """The toxic words come after 20,000 characters; a prefix of the texts has none of them."""
+    rng = random.Random(5)
+    usual, bad = [f"word{i}" for i in range(400)], [f"slur{i}x" for i in range(12)]
+    texts = []
+    for i in range(240):
+        words = rng.choices(usual, k=3500)
+        texts.append((i, " ".join(words + (rng.choices(bad, k=60) if i % 2 else rng.choices(usual, k=60)))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.learn(docs.unionByName(docs.where("doc_id < 9")), labels)  # a repeated row trains once
+    assert b"slur3x" in model.toxic and b"slur3x" not in model.ordinary and model.toxic == toxicity.learn(docs, labels).toxic
+    rows = [r for r in toxicity.score(docs, model).collect() if r.held_out]
+    assert len(rows) > 40 and all(r.predicted == r.doc_id % 2 for r in rows)
+
+
 def test_toxicity_windows_cover_the_text():
     text = b" ".join(b"w%d" % i for i in range(500))
     got = list(toxicity.windows(text))
