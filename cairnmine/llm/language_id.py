@@ -9,12 +9,14 @@ Evidence for language l of a row, as summands of a log posterior:
   the texts of all rows look like, each row without itself.
 
 A row is rejected if it has no trigram, if no language has posterior ``LEAST_POSTERIOR``, if its language is not wanted,
-or if a text of 200 trigrams or more is far less likely under its best language than any usual text (``FAR`` deviations:
-not a language of the model at all).
+or if a text of 200 trigrams or more is far less likely under its best language than any usual text, both of all languages
+and of that one (``FAR`` deviations: not a language of the model at all).
 
-Training: trigram counts come from at most ``SAMPLE`` rows with a declared language, those with the smallest hashes of
-the text (equal texts count once), ``SAMPLE_BYTES`` leading bytes each; a language needs ``LEAST_ROWS`` of them or 1 %. Scoring reads whole texts,
-and priors and confusion counts come from all rows. Only (L+1) x L confusion counts and L totals reach the driver.
+Training: every language that at least ``LEAST_ROWS`` rows of the corpus declare is part of the model, however small its share.
+Trigram counts come from at most ``SAMPLE`` texts of each language, those with the smallest hashes (equal texts count once a
+language). Only rows are left out: chosen texts train whole, as they are scored, and executors count them. Priors and confusion
+counts come from all rows. What reaches the driver is by language: trigram counts, (L+1) x L confusion counts, L totals and a
+number for each chosen text.
 
 Scale: the text pass shuffles nothing and leaves a narrow table; counts are grouped with partial aggregation; that
 narrow table is joined with the host table, whose skew adaptive execution can split. Texts are never shuffled unless the
@@ -34,14 +36,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .common import Scratch, smallest_hashes
+from .common import Scratch, fraction
 from .url_filter import host_and_path
 
-BUCKETS, SAMPLE, SAMPLE_BYTES, LEAST_ROWS, MOST_LANGUAGES = 1 << 15, 4000, 8 << 10, 5, 64
+BUCKETS, SAMPLE, LEAST_ROWS, MOST_BROADCAST = 1 << 15, 1000, 5, 1_000_000
 TEXT_WEIGHT, MOST_TRIGRAMS, HOST_STRENGTH, SUFFIX_STRENGTH, ALPHA = 0.25, 400, 5.0, 20.0, 0.5
 LEAST_POSTERIOR, FAR = 0.6, 40.0
 
@@ -65,7 +68,7 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Model:
     languages: list[str]
     table: np.ndarray  # (BUCKETS, L) log-probabilities
-    usual: tuple[float, float]  # mean and deviation of a usual text's mean log-likelihood
+    least: np.ndarray  # (L,) mean log-likelihood below which a text is far from all usual ones
 
     def likelihoods(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(trigrams, mean log-likelihoods) of each row."""
@@ -80,33 +83,64 @@ class Model:
         return n, ll / np.maximum(n, 1)[:, None]
 
 
+def _count(languages: list[str]):
+    at = {v: i for i, v in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = tx.string_buffers(b.column("text"))
+            of = np.array([at[v] for v in b.column("declared").to_pylist()], np.int64)
+            for i, j in tx.chunks(off):
+                code, row = _trigrams(data, off[i : j + 1])
+                cell, n = np.unique(of[i:j][row] * BUCKETS + code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    return run
+
+
+def _best(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, ll = shared.value.likelihoods(b.column("text"))
+            long = n >= 200
+            yield pa.RecordBatch.from_arrays([b.column("declared").filter(pa.array(long)), pa.array(ll[long].max(axis=1))], ["declared", "best"])
+
+    return run
+
+
+def _limit(best: np.ndarray, least: int) -> float:
+    middle, deviation = 0.0, 1.0
+    if len(best) >= least:
+        middle = float(np.median(best))
+        deviation = float(max(0.05, 1.4826 * np.median(np.abs(best - middle))))
+    return middle - FAR * deviation
+
+
 def learn(rows: DataFrame) -> Model | None:
     """A model from rows (id, h, text, declared); h: hash of the text."""
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     known = rows.where("declared is not null and length(text) >= 3 and id is not null")
-    scratch = Scratch(rows.sparkSession)
-    narrow = scratch.write(known.groupBy("h").agg(F.min("id").alias("id")), "narrow")  # equal texts once
-    chosen = scratch.write(smallest_hashes(narrow, SAMPLE), "chosen")
-    texts = known.join(F.broadcast(chosen), ["id", "h"]).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "declared", "h")  # at most the sample's rows
-    sample = texts.toArrow().sort_by([("h", "ascending"), ("declared", "ascending")])
-    declared = np.array(sample.column("declared").to_pylist(), object)
-    names, times = np.unique(declared.astype(str), return_counts=True) if len(declared) else (np.array([]), np.array([]))
-    enough = [(-int(k), str(v)) for v, k in zip(names, times) if k >= max(LEAST_ROWS, 0.01 * len(declared))]
-    languages = sorted(v for _, v in sorted(enough)[:MOST_LANGUAGES])
+    narrow = scratch.write(known.groupBy("declared", "h").agg(F.min("id").alias("id"), F.count("*").alias("c")), "narrow")  # equal texts once a language
+    said = scratch.write(narrow.groupBy("declared").agg(F.sum("c").alias("rows"), F.count("*").alias("texts")).where(F.col("rows") >= LEAST_ROWS), "declared")
+    languages = sorted(r["declared"] for r in said.collect())
     if not languages:
         return None
-    data, off = tx.string_buffers(sample.column("text"))
-    of = np.array([languages.index(v) if v in languages else len(languages) for v in declared])
-    counts = np.full((BUCKETS, len(languages) + 1), 0.05)
-    for i, j in tx.chunks(off):
-        code, row = _trigrams(data, off[i : j + 1])
-        np.add.at(counts, (code, of[i:j][row]), 1)
-    counts = counts[:, : len(languages)]
-    model = Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), (0.0, 1.0))
-    n, ll = model.likelihoods(sample.column("text"))
-    best = ll.max(axis=1)[n >= 200]
-    if len(best) >= 20:
-        middle = float(np.median(best))
-        model.usual = middle, float(max(0.05, 1.4826 * np.median(np.abs(best - middle))))
+    few = narrow.join(F.broadcast(said), "declared").where(fraction(F.col("h")) < (2.0 * SAMPLE + 100.0) / F.col("texts"))  # the rest can't be chosen
+    first = F.row_number().over(W.partitionBy("declared").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    chosen = scratch.write(few.withColumn("k", first).where(F.col("k") <= SAMPLE).select("id", "h", "declared"), "chosen")
+    n = chosen.count()
+    texts = known.join(F.broadcast(chosen) if n <= MOST_BROADCAST else chosen, ["id", "h", "declared"]).select("h", "declared", "text")  # whole; at most the sample's rows
+    sample = scratch.write(texts, "sample")
+    if sample.count() > n:  # repeated rows
+        sample = scratch.write(sample.dropDuplicates(["declared", "h"]), "sample")
+    found = sample.mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.full(len(languages) * BUCKETS, 0.05)
+    counts[found.column("cell").to_numpy()] += found.column("n").to_numpy()
+    counts = counts.reshape(len(languages), BUCKETS).T
+    model = Model(languages, np.ascontiguousarray(np.log(counts / counts.sum(axis=0)), np.float32), np.zeros(0))
+    usual = sample.mapInArrow(_best(spark.sparkContext.broadcast(model)), "declared string, best double").toArrow()
+    own, best = np.array(usual.column("declared").to_pylist(), object), usual.column("best").to_numpy()
+    model.least = np.array([min(_limit(best, 20), _limit(best[own == v], LEAST_ROWS)) if (own == v).sum() >= LEAST_ROWS else _limit(best, 20) for v in languages])
     return model
 
 
@@ -147,23 +181,22 @@ def identify(rows: DataFrame, model: Model | None = None, wanted: list[str] | No
     classes = [*names, "?"]
     said = {d: [np.log((seen.get((d, i), 0) + ALPHA) / (sum(seen.get((c, i), 0) for c in classes) + ALPHA * len(classes))) for i in range(k)] for d in classes}
 
-    counts = [F.count_if(F.col("label") == i).alias(f"c{i}") for i in range(k)]
-    tally = narrow.groupBy("host", "suffix").agg(*counts)
-    by_host = scratch.write(tally.where("host is not null").groupBy("host").agg(*[F.sum(f"c{i}").alias(f"h{i}") for i in range(k)]), "hosts")
-    by_suffix = scratch.write(tally.where("suffix is not null").groupBy("suffix").agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)]), "suffixes")
-    full = narrow.join(by_host, "host", "left").join(by_suffix, "suffix", "left")
-    counted = lambda c: F.when(F.col(f"{c}0").isNotNull(), F.array(*[F.col(f"{c}{i}") for i in range(k)]))
-    full = full.select("id", "h", "declared", "n", "ll", "label", counted("h").alias("hosts"), counted("s").alias("suffixes"))
+    tally = narrow.where("label >= 0").groupBy("host", "suffix", "label").agg(F.count("*").alias("c"))
+    counted = lambda key: tally.where(F.col(key).isNotNull()).groupBy(key, "label").agg(F.sum("c").alias("c")).groupBy(key).agg(F.collect_list(F.struct("label", "c")).alias(f"{key}s"))
+    by_host, by_suffix = scratch.write(counted("host"), "hosts"), scratch.write(counted("suffix").withColumnRenamed("suffixs", "suffixes"), "suffixes")
+    full = narrow.join(by_host, "host", "left").join(by_suffix, "suffix", "left").select("id", "h", "declared", "n", "ll", "label", "hosts", "suffixes")
     fused = _fuse(model, np.array([said[c] for c in classes]), np.array(totals, float), wanted or names)
     return full.mapInArrow(fused, "id long, h long, lang string, posterior double, text_lang string, accepted boolean")
 
 
 def _counts(col: pa.Array, label: np.ndarray, k: int) -> np.ndarray:
-    """Counts by language without the row's own; nulls are zeros."""
+    """Counts by language without the row's own, from lists of (label, count); nulls are zeros."""
     out = np.zeros((len(col), k))
     there = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
     if len(there):
-        out[there] = col.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        lists = col.drop_null()
+        at, c = lists.flatten().flatten()
+        out[np.repeat(there, lists.value_lengths().to_numpy()), at.to_numpy()] = c.to_numpy()
         own = there[label[there] >= 0]
         out[own, label[own]] -= 1
     return out
@@ -188,7 +221,7 @@ def _fuse(model: Model, said: np.ndarray, totals: np.ndarray, wanted: list[str])
                     log[i] += said[names.index(d) if d in names else k]
             best = log.argmax(axis=1)
             posterior = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-            far = (n >= 200) & (ll.max(axis=1) < model.usual[0] - FAR * model.usual[1])
+            far = (n >= 200) & (ll.max(axis=1) < model.least[ll.argmax(axis=1)])
             ok = (n > 0) & (posterior >= LEAST_POSTERIOR) & ~far & np.isin(np.array(names)[best], wanted)
             of = lambda at: pa.array([names[i] if i >= 0 else None for i in at.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), of(best), pa.array(posterior), of(label), pa.array(ok)], ["id", "h", "lang", "posterior", "text_lang", "accepted"])

@@ -247,6 +247,29 @@ def test_language_of_documents(spark, sf, nasty, nothing):
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
 
 
+def test_languages_of_small_share(spark):
+    """66 languages with 6 rows of 1,396 each are all part of the model, next to one that has 1,000 rows."""
+    rng = random.Random(9)
+    names = ["en", *(f"x{a}{b}" for a in "abcdef" for b in "abcdefghijk")]
+    words = {l: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(40)] for l in names}
+    own = [l for l in names for _ in range(1000 if l == "en" else 6)]
+    rows = [(i, " ".join(rng.choices(words[l], k=120)), l, f"h{i % 7}", None) for i, l in enumerate(own)]
+    rows += [(-1 - i, " ".join(rng.choices(words[l], k=120)), None, None, None) for i, l in enumerate(names)]  # not trained
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    got = {r.id: r for r in language_id.identify(df).collect()}
+    assert all(got[i].lang == l and got[i].accepted for i, l in [*enumerate(own), *((-1 - i, l) for i, l in enumerate(names))])
+
+
+def test_language_trains_on_whole_texts(spark):
+    """What tells the languages apart comes after 20,000 characters of the same words."""
+    same, words = "lorem ipsum dolor " * 1200, {"en": "the and of with that this from", "de": "der und die mit das den von"}
+    rows = [(i, same + " ".join(random.Random(i).choices(words[l].split(), k=900)), l, None, None) for i, l in enumerate(["en", "de"] * 10)]
+    rows += [(100 + i, " ".join(random.Random(i).choices(words[l].split(), k=90)), None, None, None) for i, l in enumerate(["en", "de"])]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    got = {r.id: r.text_lang for r in language_id.identify(df).collect()}
+    assert (got[100], got[101]) == ("en", "de")
+
+
 def test_evidence_decides_where_text_is_silent(spark):
     """A short text is settled by declared language, then by its host, then by its suffix."""
     words = {"en": "the and of with that this from", "de": "der und die mit das den von"}
