@@ -85,9 +85,7 @@ def _(spark, d):
 
 @query("cube_component_score")
 def _(spark, d):
-    a, c = coupled(spark, d)
-    pick = "mid % 50 = 1"
-    return flow.component_scores(a.where(pick), c.where(pick)).withColumn("score", F.round("score", 3))
+    return flow.component_scores(*coupled(spark, d)).withColumn("score", F.round("score", 3))
 
 
 _DENS = f"""e AS (SELECT {_SEC} AS s, user_id, event_type FROM events), m AS (SELECT min(s) AS t0 FROM e),
@@ -151,8 +149,7 @@ def _(spark, d):
 
 @query("kgrass_summary")
 def _(spark, d):
-    e = trade(spark, d).where("src <= 30 and dst < 1000000060")
-    return summarize.kgrass(e, 12)[0]
+    return summarize.kgrass(trade(spark, d), 12)[0]
 
 
 @query("beatlex_segments")

@@ -314,3 +314,17 @@ def test_tasks(spark):
     assert chain.run(e).count() > 0
     tasks.register("own", lambda df: df, "forecast")
     assert tasks.models("forecast") == ("own",)
+
+
+def test_whole_tables_are_summarised(spark, sf):
+    """Every supplier, part and customer with a line item is in the results of kgrass_summary and cube_component_score."""
+    from cairnmine import catalog
+    from cairnmine.llm.common import table
+
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    n_s, n_p = l.select("l_suppkey").distinct().count(), l.select("l_partkey").distinct().count()
+    n_c = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select("o_custkey").distinct().count()
+    member = catalog.queries()["kgrass_summary"](spark, sf).collect()
+    assert len(member) == n_s + n_p and len({r["super"] for r in member}) == 12
+    found = catalog.queries()["cube_component_score"](spark, sf).collect()
+    assert [sum(r[c] for r in found) for c in ("n_a", "n_m", "n_c")] == [n_s, n_p, n_c]
