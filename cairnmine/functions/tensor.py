@@ -3,7 +3,7 @@
 A sparse tensor holds non-zero cells only and carries its shape; a dense one holds every cell. Functions keep to these
 rules: on sparse input a function that doesn't map 0 to 0 is refused (densify first); reductions count implicit zeros;
 sparse and dense tensors don't mix in one call. Everything is a lazy plan of built-in expressions and joins on index
-columns; only ``cumprod`` runs a grouped Arrow function.
+columns; only ``cumprod`` runs a grouped pandas function.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .encode import number
+from ..tables import cut
+from .encode import number, prefix_sums
 
 #: Element types and their Spark counterparts (unsigned bytes and half floats widen).
 DTYPES = {"int8": "byte", "uint8": "short", "short": "short", "int16": "short", "int32": "int", "int64": "long", "float16": "float", "float32": "float", "float64": "double", "complex64": "struct<re:float,im:float>", "complex128": "struct<re:double,im:double>"}
@@ -368,7 +369,9 @@ def argsort(t: Tensor, axis: int = -1) -> Tensor:
     axis %= t.ndim
     own = f"i{axis}"
     rest = [c for c in t.idx if c != own]
-    w = W.partitionBy(*rest) if rest else W.partitionBy(F.lit(0))
+    if not rest:  # one long vector: numbered by ranges
+        return Tensor(number(t.df, ["v", own], "k").select(F.col("k").alias(own), F.col(own).alias("v")), t.shape, True)
+    w = W.partitionBy(*rest)
     out = t.df.withColumn("k", F.row_number().over(w.orderBy("v", own)).cast("long") - 1).withColumn("v", F.col(own)).withColumn(own, F.col("k"))
     return Tensor(out.select(*t.idx, "v"), t.shape, True)
 
@@ -378,7 +381,9 @@ def cumsum(t: Tensor, axis: int | None = None) -> Tensor:
     _need_dense(t, "cumsum")
     t, axis = (reshape(t, (t.cells,)), 0) if axis is None else (t, axis % t.ndim)
     rest = [c for k, c in enumerate(t.idx) if k != axis]
-    w = W.partitionBy(*rest) if rest else W.partitionBy(F.lit(0))
+    if not rest:
+        return Tensor(prefix_sums(t.df, t.idx, {"_s": F.col("v")}).select(*t.idx, F.col("_s").alias("v")), t.shape, True)
+    w = W.partitionBy(*rest)
     return t.with_value(F.sum("v").over(w.orderBy(f"i{axis}").rowsBetween(W.unboundedPreceding, 0)))
 
 
@@ -392,8 +397,13 @@ def cumprod(t: Tensor, axis: int | None = None) -> Tensor:
         return pdf.assign(v=pdf["v"].astype(float).cumprod())[cols]
 
     schema = ", ".join([f"{c} long" for c in t.idx] + ["v double"])
-    groups = t.df.groupBy(*rest) if rest else t.df.withColumn("_g", F.lit(0)).groupBy("_g")
-    return Tensor(groups.applyInPandas(run, schema), t.shape, True)
+    if rest:
+        return Tensor(t.df.groupBy(*rest).applyInPandas(run, schema), t.shape, True)
+    ranged = cut(t.df.repartitionByRange(own).withColumn("_part", F.spark_partition_id()))  # products in ranges, times those of the ranges before
+    totals = ranged.groupBy("_part").agg(F.product("v").alias("_t"))
+    before = totals.select("_part", F.coalesce(F.product("_t").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)).alias("_b"))
+    inside = ranged.groupBy("_part").applyInPandas(lambda pdf: run(pdf[cols]).assign(_part=pdf["_part"].iloc[0]), f"{schema}, _part int")
+    return Tensor(inside.join(before, "_part").select(own, (F.col("v") * F.col("_b")).alias("v")), t.shape, True)
 
 
 def bincount(t: Tensor, weights: Tensor | None = None, minlength: int = 0) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,13 +155,13 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(F.array("u", "a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
 
 
-def core_numbers(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
     """(id, core): the largest k whose k-core holds the node, by rounds of neighbourhood h-indices until nothing changes."""
     e = undirected(edges)
     both = cut(e.select(F.col("a").alias("id"), F.col("b").alias("n")).unionByName(e.select(F.col("b").alias("id"), F.col("a").alias("n"))))
     core = cut(both.groupBy("id").agg(F.count("*").alias("core")))
     before = None
-    for _ in range(most_rounds):
+    while True:  # h-indices fall until they are the core numbers
         known = both.join(core.select(F.col("id").alias("n"), F.col("core").alias("c")), "n")
         ranked = known.groupBy("id", "c").agg(F.count("*").alias("k"))  # by value: a hub's rows shrink before the window
         up = ranked.withColumn("at_least", F.sum("k").over(W.partitionBy("id").orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, 0)))
@@ -172,12 +173,12 @@ def core_numbers(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return core
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that a node is connected with, directions ignored; nodes with loops only are their own."""
     nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
     e = cut(undirected(edges).select(F.col("b").alias("a"), F.col("a").alias("b")))
     before = None
-    for _ in range(most_rounds):
+    while True:  # a logarithmic number of rounds
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -214,24 +215,32 @@ def overlap(found: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select(F.coalesce("kind", F.lit("all")).alias("kind"), ratio(p).alias("precision"), ratio(r).alias("recall"), ratio(F.try_divide(2 * F.col("x"), F.col("nf") + F.col("nt"))).alias("f1"), ratio(F.try_divide(F.col("x"), F.col("nf") + F.col("nt") - F.col("x"))).alias("jaccard"))
 
 
-def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", v: str = "v", block: int = 4096) -> DataFrame:
-    """(query, id, similarity): the k most similar others by cosine or Pearson for a stated set of queries, which meets the
-    vectors in blocks of about ``block`` (the only rows that are broadcast)."""
+def _blocks(queries: DataFrame, block: int, id_col: str) -> Iterator[DataFrame]:
+    n = max(1, -(-queries.count() // block))
+    for b in range(n):
+        yield queries.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == b)
+
+
+def _similar(vectors: DataFrame, own: DataFrame, metric: str, id_col: str, v: str) -> DataFrame:
     x = F.col(v).cast("array<double>")
     if metric == "pearson":
         mean = F.aggregate(x, F.lit(0.0), lambda a, e: a + e) / F.size(v)
         x = F.transform(x, lambda e: e - mean)
     unit = lambda df, i, name: df.select(F.col(id_col).alias(i), x.alias("_x")).select(i, F.transform("_x", lambda e: F.try_divide(e, F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, b: a + b * b)))).alias(name))
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        pairs = unit(vectors, "id", "a").join(F.broadcast(unit(own, "query", "b")), F.col("id") != F.col("query"))
-        s = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, e: t + e)
-        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-        part = pairs.select("query", "id", s.alias("similarity")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
-        out = part if out is None else out.unionByName(part)
-    return out
+    pairs = unit(vectors, "id", "a").join(F.broadcast(unit(own, "query", "b")), F.col("id") != F.col("query"))
+    return pairs.select("query", "id", F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, e: t + e).alias("similarity"))
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", id_col: str = "id", v: str = "v", block: int = 4096) -> DataFrame:
+    """(query, id, similarity): cosine or Pearson of a stated set of queries with all others. Queries meet the vectors in blocks
+    of about ``block``, the only rows that are broadcast; a filter on the similarity is applied where a pair is computed."""
+    return fold(DataFrame.unionByName, [_similar(vectors, own, metric, id_col, v) for own in _blocks(queries, block, id_col)])
+
+
+def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", v: str = "v", block: int = 4096) -> DataFrame:
+    """(query, id, similarity): the k most similar others, block by block of queries as in ``similarities``."""
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return fold(DataFrame.unionByName, [_similar(vectors, own, metric, id_col, v).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r") for own in _blocks(queries, block, id_col)])
 
 
 def pairs_above(pairs: DataFrame, least: float, value: str = "similarity") -> DataFrame:

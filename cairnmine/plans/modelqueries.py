@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query("cubeflow_plus")
 def _(spark, d):
-    return flow.cubeflow_plus(*coupled(spark, d), most_nodes=1_000_000).withColumn("score", F.round("score", 3))
+    return flow.cubeflow_plus(*coupled(spark, d)).withColumn("score", F.round("score", 3))
 
 
 @query("cube_component_score")
@@ -144,7 +144,7 @@ def _(spark, d):
 def _(spark, d):
     e = trade(spark, d)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return summarize.dpgs(both, rounds=1)[0]
+    return summarize.dpgs(both)[0]
 
 
 @query("kgrass_summary")

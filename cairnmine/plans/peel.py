@@ -1,8 +1,8 @@
 """Density peeling of bipartite graphs.
 
-Exact mode removes one node at a time and runs in one task, so it takes graphs of up to ``MOST_EXACT`` edges (counted);
-larger ones, or ``mode="batch"``, are peeled in distributed rounds that remove every node of less than (1 + eps) times the
-density: its result is at least 1 / (2 + 2 eps) of the best density, and is not the exact mode's.
+The mode is the caller's choice and never follows the size. ``exact`` removes one node at a time in one task; it refuses graphs
+of more than ``MOST_EXACT`` edges (counted). ``batch`` peels in distributed rounds that remove every node of less than
+(1 + eps) times the density: its result is at least 1 / (2 + 2 eps) of the best density, and is not the exact mode's.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..tables import cut
+from ..tables import cut, in_one_task
 
 MOST_EXACT = 2_000_000
 
@@ -70,19 +70,20 @@ def exact(edges: DataFrame, most: int = -1) -> DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
         return _table(*peel_arrays(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["w"].to_numpy(), most))
 
-    return edges.select("src", "dst", "w").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "kind string, id long, density double")
+    return in_one_task(edges.select("src", "dst", "w"), MOST_EXACT, "exact peeling").groupBy("_g").applyInPandas(run, "kind string, id long, density double")
 
 
-def batch(edges: DataFrame, eps: float = 1.0, most_rounds: int = 100) -> DataFrame:
+def batch(edges: DataFrame, eps: float = 1.0) -> DataFrame:
     """Distributed rounds; each is one degree aggregate a side and two semi-joins."""
     e = cut(edges.select("src", "dst", "w"))
-    best, kept = -1.0, e
-    for _ in range(most_rounds):
+    best, kept, before = -1.0, e, -1
+    while True:
         r, c = cut(graph.degree(e, "src")), cut(graph.degree(e, "dst"))
         nr, total = r.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0.0))).first()
         n = nr + c.count()
-        if not n:
+        if not n or n == before:  # empty, or all degrees are equal
             break
+        before = n
         density = total / n
         if density > best:
             best, kept = density, e
@@ -93,13 +94,13 @@ def batch(edges: DataFrame, eps: float = 1.0, most_rounds: int = 100) -> DataFra
     return rows.unionByName(cols).withColumn("density", F.lit(float(best)))
 
 
-def peel(edges: DataFrame, mode: str = "auto", most: int = -1) -> DataFrame:
-    if mode == "auto":
-        mode = "exact" if edges.limit(MOST_EXACT + 1).count() <= MOST_EXACT else "batch"
+def peel(edges: DataFrame, mode: str = "exact", most: int = -1) -> DataFrame:
+    if mode not in ("exact", "batch") or mode == "batch" and most > 0:
+        raise ValueError("mode is exact or batch; only exact keeps to a largest size")
     return exact(edges, most) if mode == "exact" else batch(edges)
 
 
-def fraudar(edges: DataFrame, k: int = 1, weights: str = "log", most: int = -1, mode: str = "auto", binary: bool = True) -> DataFrame:
+def fraudar(edges: DataFrame, k: int = 1, weights: str = "log", most: int = -1, mode: str = "exact", binary: bool = True) -> DataFrame:
     """(block, kind, id, density) of k rounds: column-weighted peeling, then the block's inner edges go.
 
     binary: entries count as 1, as the weights do.
@@ -115,8 +116,8 @@ def fraudar(edges: DataFrame, k: int = 1, weights: str = "log", most: int = -1,
     return out
 
 
-def symmetric(edges: DataFrame, mode: str = "auto") -> DataFrame:
-    """(id, density) of the densest subgraph of one node set: density is weight over nodes."""
+def symmetric(edges: DataFrame) -> DataFrame:
+    """(id, density) of the densest subgraph of one node set: density is weight over nodes. Exact, so in one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])
@@ -148,10 +149,10 @@ def symmetric(edges: DataFrame, mode: str = "auto") -> DataFrame:
         return pd.DataFrame({"id": ids[keep], "density": best})
 
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w"))
-    return e.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "id long, density double")
+    return in_one_task(e, MOST_EXACT, "exact peeling").groupBy("_g").applyInPandas(run, "id long, density double")
 
 
-def specgreedy(edges: DataFrame, rounds: int = 1, k: int = 3, weights: str = "log", delete: str = "edge", mode: str = "auto") -> DataFrame:
+def specgreedy(edges: DataFrame, rounds: int = 1, k: int = 3, weights: str = "log", delete: str = "edge", mode: str = "exact") -> DataFrame:
     """(block, kind, id, density): the densest of the peeled outlier blocks of k singular vectors, round by round.
 
     Vectors are tried in order until twice the best density reaches the next singular value, which bounds what is left.

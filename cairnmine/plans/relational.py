@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..catalog import query
 from ..functions import encode
 from ..operators import graph, histogram, iat, series, stats
-from .inputs import cents, coupled, events, flow, month, purchases, supplies, table
+from .inputs import cents, coupled, events, flow, month, purchases, supplies, table, trade
 
 _CP = "cp AS (SELECT o_custkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 _SP = "sp AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)"
@@ -243,19 +243,19 @@ def _(spark, d):
     return graph.overlap(found, truth)
 
 
-@query("cosine_topk", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+@query("cosine_topk", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS k FROM s) SELECT query, id, similarity FROM r WHERE k <= 5""")
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.top_neighbours(v, v.where("id % 100 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+    return graph.top_neighbours(v, v.where("id % 20 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("pearson_pairs", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT vec_id, [x - list_avg(e) FOR x IN e] AS e FROM v),
-s AS (SELECT q.vec_id AS query, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 6) AS similarity FROM c q JOIN c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS k FROM s)
-SELECT query, id, similarity FROM r WHERE k <= 20 AND similarity >= 0.2""")
+s AS (SELECT q.vec_id AS query, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 6) AS similarity FROM c q JOIN c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query, id, similarity FROM s WHERE similarity >= 0.2""")
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.pairs_above(graph.top_neighbours(v, v.where("id % 100 = 0"), 20, "pearson").withColumn("similarity", F.round("similarity", 6)), 0.2)
+    return graph.pairs_above(graph.similarities(v, v.where("id % 20 = 0"), "pearson").withColumn("similarity", F.round("similarity", 6)), 0.2)
 
 
 # ---- series and grouped times ------------------------------------------------------------------------------------
@@ -495,12 +495,11 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy(month("l_shipdate").alias("tbin")).agg(F.sum(cents("l_extendedprice")).alias("cents"))
 
 
-@query("components", f"""WITH RECURSIVE x AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000000 AS p FROM lineitem WHERE l_suppkey % 10 = 3 AND l_partkey % 40 = l_suppkey % 40),
-e AS (SELECT s AS a, p AS b FROM x UNION SELECT p, s FROM x), r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
-SELECT id, min(root) AS component FROM r GROUP BY id""")
+@query("components", """WITH RECURSIVE x AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000000 AS p FROM lineitem), e AS (SELECT s AS a, p AS b FROM x UNION ALL SELECT p, s FROM x),
+r(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.id JOIN recurring.r o ON o.id = e.b WHERE r.component < o.component GROUP BY e.b)
+SELECT id, component FROM r""")
 def _(spark, d):
-    e = table(spark, d, "lineitem").where("l_suppkey % 10 = 3 and l_partkey % 40 = l_suppkey % 40").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst"))
-    return graph.components(e)
+    return graph.components(trade(spark, d))
 
 
 def _knows(spark, d):
