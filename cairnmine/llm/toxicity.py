@@ -1,21 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. A document is cut into windows of about
-``WINDOW`` bytes (at spaces), and once more with windows shifted by half; each window is compressed with either, and the
-difference of the two lengths says how many bytes the toxic dictionary saved. How many windows exceed each of a range
-of thresholds, the sum and the largest difference go through a calibrated logistic curve to a score from 0 to 1.
-
-Training. A dictionary is a run of segments (words), the most typical last, chosen by how many different contexts
-(words before) a segment has in the sample, so that copies of one text count once. The ordinary dictionary takes
-the segments of ordinary text that cover most of it. The toxic one takes segments that toxic text has ``RATIO`` times as
-often for its length; the ordinary one's content follows them, so that ordinary words lie equally near in both and
-windows without toxic segments have a difference of about 0. The curve is fitted by cross-fitting: either half of the
-sample is measured with dictionaries of the other half, then the final dictionaries are trained on all of it.
+Two zstandard dictionaries are compared. The ordinary one is trained by zstandard's own trainer on ordinary text. The toxic
+one is trained on toxic text: the segments (words) of it that its text explains and ordinary text does not, the most typical
+last; the ordinary dictionary's content stands before them, so what is ordinary lies equally near in both and only toxic
+segments make a difference. A document is cut into windows of about ``WINDOW`` bytes (at spaces), and once more with windows
+shifted by half; each window is compressed with either dictionary, behind a run of ``PAD`` zeros, so that no window is stored
+uncompressed and every byte saved shows. The difference of the two lengths says how many bytes the toxic dictionary saved. How
+many windows reach each of a range of thresholds, and which part of all windows, go through a calibrated logistic curve to a
+score from 0 to 1.
+
+Training. A segment counts once for each different word before it in the sample, so that copies of one text count once. With a
+contexts in toxic text against e expected from ordinary text (at equal length), it is toxic if a >= ``LEAST_CONTEXTS``, the
+likelihood ratio 2 (a ln(a / e) - a + e) is at least ``EVIDENCE`` (a chance of about one in 100,000) and a > ``RATIO`` e. The
+curve is fitted by cross-fitting: every fold of the sample is measured with toxic segments of the other folds, then the final
+ones are found in all of it.
 
 Sample: of the labelled rows allowed for training, at most ``MOST_TOXIC`` toxic and ``MOST_ORDINARY`` ordinary documents,
 those with the smallest hashes of the text (equal texts count once). Only rows are left out: chosen texts train and calibrate
-whole, as they are scored. They stay in a written table; words are counted and windows measured by executors, so the driver
-holds the segments of the dictionaries and one row of features for each chosen text.
+whole, as they are scored. They stay in a written table; words are counted, the ordinary dictionary is trained (one task, on the
+sample's ordinary texts) and windows are measured by executors, so the driver holds the dictionaries and one row of features
+for each chosen text.
 
 Defined cases: null, empty or wordless texts have no window and get the curve's value at no evidence; without toxic or
 without ordinary training rows every score is 0; labels that are null train nothing; a document with several labels is
@@ -30,15 +34,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, smallest_hashes
 
-WINDOW, LEVEL, SHORTEST_MATCH, ORDINARY_BYTES, TOXIC_BYTES = 96, 8, 6, 32 << 10, 8 << 10
-MOST_TOXIC, MOST_ORDINARY, WORDS_A_BATCH = 1500, 3500, 1 << 16
-RATIO, LEAST_SHARE, LEAST_CONTEXTS, SEGMENT = 20.0, 0.006, 3, (3, 32)
+WINDOW, PAD, ORDINARY_BYTES, TOXIC_BYTES, TRAINING_WINDOW = 64, bytes(64), 128 << 10, 8 << 10, 512
+MOST_TOXIC, MOST_ORDINARY, FOLDS, WORDS_A_BATCH = 1500, 3500, 5, 1 << 16
+RATIO, EVIDENCE, LEAST_CONTEXTS, SEGMENT = 10.0, 20.0, 4, (3, 32)
 THRESHOLD = 0.7
 _SPACES = bytes(i if chr(i).isalnum() and i < 128 or i >= 128 else 32 for i in range(256))
 
@@ -48,9 +52,9 @@ def plain(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_SPACES).split())
 
 
-def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
+def windows(data: bytes, size: int = WINDOW, shifts: tuple[int, ...] = (0, 1)) -> Iterator[bytes]:
     """The whole text in windows that end at spaces, twice: from its start, and from half a window on."""
-    for at in (0, size // 2):
+    for at in (k * size // 2 for k in shifts):
         while at < len(data):
             to = data.find(b" ", at + size)
             to = min(len(data) if to < 0 else to + 1, at + 4 * size)
@@ -59,62 +63,73 @@ def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, half, word, before) for each word of the sample; the first word of a text has an empty one before it."""
+    """(toxic, fold, word, before) for each word of the sample; the first word of a text has an empty one before it."""
     for b in batches:
-        for toxic, half, data in zip(b.column("toxic").to_pylist(), b.column("half").to_pylist(), b.column("plain")):
+        for toxic, fold, data in zip(b.column("toxic").to_pylist(), b.column("fold").to_pylist(), b.column("plain")):
             words = data.as_py().split()
             before = [b"", *words[:-1]]
             for i in range(0, len(words), WORDS_A_BATCH):
                 w = pa.array(words[i : i + WORDS_A_BATCH], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(w), pa.int32()), pa.array([half] * len(w), pa.int32()), w, pa.array(before[i : i + WORDS_A_BATCH], pa.binary())], ["toxic", "half", "word", "before"])
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(w), pa.int32()), pa.array([fold] * len(w), pa.int32()), w, pa.array(before[i : i + WORDS_A_BATCH], pa.binary())], ["toxic", "fold", "word", "before"])
 
 
 def count_words(sample: DataFrame) -> DataFrame:
-    """For each word how often it occurs (n) and how many different words precede it (c), by label y and part j of the
-    sample: n{y}_{j} and c{y}_{j}, where part 2 is both halves."""
-    pairs = sample.mapInArrow(_mentions, "toxic int, half int, word binary, before binary")
-    pairs = pairs.groupBy("word", "toxic", F.xxhash64("before").alias("before")).agg(*[F.count_if(F.col("half") == j).alias(f"n{j}") for j in range(2)]).withColumn("n2", F.col("n0") + F.col("n1"))
-    own = [(F.when(F.col("toxic") == y, F.col(f"n{j}")).otherwise(0), f"{y}_{j}") for y in range(2) for j in range(3)]
-    return pairs.groupBy("word").agg(*[F.sum(n).alias(f"n{k}") for n, k in own], *[F.count_if(n > 0).alias(f"c{k}") for n, k in own])
-
-
-def _content(segments: list[Row], most: int) -> bytes:
-    out, n = [], 0
-    for s, _ in sorted(((bytes(r.word), r.weight) for r in segments), key=lambda x: (-x[1] * (len(x[0]) + 1), x[0])):
-        if (n := n + len(s) + 1) > most:
-            break
-        out.append(s)
-    return b" " + b" ".join(reversed(out)) + b" "
-
-
-def _heaviest(words: DataFrame, weight: Column, most: int) -> list[Row]:
-    """The words that can be among the first ``most`` bytes."""
-    rows = words.select("word", weight.alias("weight")).where("weight > 0")
-    return rows.orderBy((-F.col("weight") * (F.length("word") + 1)), "word").limit(most // 2 + 1).collect()
+    """For each word how many different words precede it, by label y: c{y}_{j} without fold j, and c{y}_{FOLDS} in all folds."""
+    pairs = sample.mapInArrow(_mentions, "toxic int, fold int, word binary, before binary")
+    pairs = pairs.groupBy("word", "toxic", F.xxhash64("before").alias("before")).agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
+    inside = [~((F.col("low") == j) & (F.col("high") == j)) for j in range(FOLDS)] + [F.lit(True)]  # a context of fold j alone is unknown without it
+    counts = [F.count_if((F.col("toxic") == y) & inside[j]).alias(f"c{y}_{j}") for y in range(2) for j in range(FOLDS + 1)]
+    return pairs.groupBy("word").agg(*counts)
+
+
+def toxic_segments(words: DataFrame, sizes: dict[tuple[int, int], int]) -> list[bytes]:
+    """The content of the toxic dictionary without each fold, and of all folds; ``sizes``: bytes of text by label and part.
+
+    What passes the tests, and reaches the driver, are words that tell the labels apart in a bounded sample.
+    """
+    gain = []
+    for part in range(FOLDS + 1):
+        a = F.col(f"c1_{part}").cast("double")
+        e = (F.col(f"c0_{part}") + 0.5) * (max(1, sizes[1, part]) / max(1, sizes[0, part]))
+        known = (a >= LEAST_CONTEXTS) & (a > RATIO * e) & (2 * (a * F.ln(a / e) - a + e) >= EVIDENCE)
+        gain.append(F.when(known, (a - e) * (F.length("word") + 1)).otherwise(0.0))
+    rows = words.where(F.length("word").between(*SEGMENT)).select("word", F.array(*gain).alias("gain")).where(F.array_max("gain") > 0).collect()
+    out = []
+    for part in range(FOLDS + 1):
+        chosen, n = [], 0
+        for gained, word in sorted((-r["gain"][part], bytes(r["word"])) for r in rows if r["gain"][part] > 0):
+            if (n := n + len(word) + 1) > TOXIC_BYTES:
+                break
+            chosen.append(word)
+        out.append(b" " + b" ".join(reversed(chosen)) + b" " if chosen else b"")
+    return out
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ordinary dictionary's content; of too little text, the text itself."""
+    texts = sorted(data.as_py() for b in batches for data in b.column("plain"))
+    pieces = [w for t in texts for w in windows(t, TRAINING_WINDOW, (0,))]
+    size = min(ORDINARY_BYTES, sum(map(len, pieces)) // 8)
+    try:
+        data = zs.train_dictionary(size, pieces).as_bytes()
+    except zs.ZstdError:
+        data = b" ".join(texts)[-ORDINARY_BYTES:]
+    yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
 
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: bytes  # segments that follow the ordinary content
     weights: tuple[float, ...] | None = None  # of the curve: the constant, then one for each feature
 
-    @classmethod
-    def dictionaries(cls, words: DataFrame, docs: dict[tuple[int, int], int], sizes: dict[tuple[int, int], int], part: int) -> Model:
-        """From the words of part 0, 1 or 2 (both), and how many documents and bytes it has by label; an empty half gives way to both."""
-        t, o = [part if docs[y, part] else 2 for y in (1, 0)]
-        toxic, known = F.col(f"c1_{t}"), F.col(f"n1_{t}") >= 3
-        usual = F.when(F.col(f"n0_{o}") >= 3, F.col(f"c0_{o}")).when(known, F.col(f"n0_{o}")).otherwise(0)  # rarer words of toxic text count their occurrences
-        least = max(LEAST_CONTEXTS, LEAST_SHARE * docs[1, t])
-        typical = words.where(known & (toxic >= least) & F.length("word").between(*SEGMENT) & ((toxic + 0.5) / (sizes[1, t] + 1) > RATIO * (usual + 0.5) / (sizes[0, o] + 1)))
-        base = _content(_heaviest(words, usual, ORDINARY_BYTES), ORDINARY_BYTES)
-        return cls(base, _content(_heaviest(typical, toxic, TOXIC_BYTES), TOXIC_BYTES) + base)
-
     def compressors(self) -> tuple[zs.ZstdCompressor, zs.ZstdCompressor]:
+        """For the ordinary and the toxic dictionary; the first is as long as the second, so that offsets cost the same."""
         out = []
-        for data in (self.ordinary, self.toxic):
-            own = zs.ZstdCompressionDict(data, dict_type=zs.DICT_TYPE_RAWCONTENT)
-            params = zs.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(data), source_size=WINDOW, min_match=SHORTEST_MATCH, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        for data in (self.ordinary + b" " * len(self.toxic), self.ordinary + self.toxic):
+            own = zs.ZstdCompressionDict(data or b" " * 8, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            # tables large enough for every position of the dictionary
+            params = zs.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=18, search_log=6, min_match=5, target_length=64, strategy=zs.STRATEGY_LAZY, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
             out.append(zs.ZstdCompressor(dict_data=own, compression_params=params))
         return out[0], out[1]
 
@@ -124,11 +139,11 @@ class Model:
 
 
 def features(text: bytes, compressors: tuple[zs.ZstdCompressor, zs.ZstdCompressor]) -> list[float]:
-    """Windows that saved at least 1 ... 6 bytes, or lost any, the most saved by one, and the sum."""
-    a, b = compressors
-    d = np.array([len(a.compress(w)) - len(b.compress(w)) for w in windows(text)] or [0])
-    counts = [(d >= k).sum() for k in range(1, 7)] + [(d <= -1).sum()]
-    return [*np.log1p(counts).tolist(), min(max(int(d.max()), 0), 12) / 3, float(np.log1p(max(0, int(d.sum()))))]
+    """Windows that saved 1 ... 7 bytes, or more; all windows; parts of them that saved at least 2, 4 or 6 bytes. Square roots."""
+    a, b = (c.compress for c in compressors)
+    d = np.array([len(a(w)) - len(b(w)) for w in (PAD + x for x in windows(text))] or [0])
+    counts = np.bincount(np.clip(d, 0, 8), minlength=9)[1:]
+    return [*np.sqrt(counts).tolist(), float(np.sqrt(len(d))), *[float(np.sqrt((d >= k).mean())) for k in (2, 4, 6)]]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float, ...]:
@@ -148,31 +163,32 @@ def _features_by(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [m.compressors() for m in shared.value]
         for b in batches:
-            x = [features(t.as_py(), own[k]) for t, k in zip(b.column("plain"), b.column("half").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("h", "toxic", "half")], pa.array(x, pa.list_(pa.float64()))], ["h", "toxic", "half", "x"])
+            x = [features(t.as_py(), own[k]) for t, k in zip(b.column("plain"), b.column("fold").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("h", "toxic", "fold")], pa.array(x, pa.list_(pa.float64()))], ["h", "toxic", "fold", "x"])
 
     return run
 
 
 def train(sample: DataFrame, scratch: Scratch) -> Model | None:
-    """A model from rows (h, toxic, half, plain), whose texts are read where they are."""
-    seen = sample.groupBy("toxic", "half").agg(F.count("*").alias("n"), F.sum(F.length("plain")).alias("size")).collect()
-    docs, sizes = [{(y, j): sum(r[c] for r in seen if r["toxic"] == y and j in (r["half"], 2)) for y in range(2) for j in range(3)} for c in ("n", "size")]
-    if not docs[1, 2] or not docs[0, 2]:
+    """A model from rows (h, toxic, fold, plain), whose texts are read where they are."""
+    seen = sample.groupBy("toxic", "fold").agg(F.sum(F.length("plain")).alias("size")).collect()
+    if {r["toxic"] for r in seen} != {0, 1}:
         return None
+    sizes = {(y, j): sum(r["size"] for r in seen if r["toxic"] == y and r["fold"] != j) for y in range(2) for j in range(FOLDS + 1)}
+    ordinary = bytes(sample.where("toxic = 0").select("plain").coalesce(1).mapInArrow(_train, "data binary").collect()[0]["data"])
     words = scratch.write(count_words(sample), "words")
-    halves = [Model.dictionaries(words, docs, sizes, 1 - k) for k in range(2)]
-    rows = sample.mapInArrow(_features_by(sample.sparkSession.sparkContext.broadcast(halves)), "h long, toxic int, half int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["half"], -r["toxic"], r["h"]))
-    model = Model.dictionaries(words, docs, sizes, 2)
-    model.weights = _fit(np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
-    return model
+    *folds, toxic = toxic_segments(words, sizes)
+    folds = [Model(ordinary, x) for x in folds]
+    rows = sample.mapInArrow(_features_by(sample.sparkSession.sparkContext.broadcast(folds)), "h long, toxic int, fold int, x array<double>").collect()
+    rows.sort(key=lambda r: (r["fold"], -r["toxic"], r["h"]))
+    weights = _fit(np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
+    return Model(ordinary, toxic, weights)
 
 
 def _plain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("h", "toxic", "half")], pa.array([plain(b.column("text")[i].as_py())], pa.binary())], ["h", "toxic", "half", "plain"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, 1) for c in ("h", "toxic", "fold")], pa.array([plain(b.column("text")[i].as_py())], pa.binary())], ["h", "toxic", "fold", "plain"])
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -188,10 +204,10 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     narrow = rows.select("doc_id", "h").join(marks, "doc_id")  # texts are hashed where they are read, not shuffled
     narrow = scratch.write(narrow.groupBy("h").agg(F.max_by("doc_id", F.struct("toxic", "doc_id")).alias("doc_id"), F.max("toxic").alias("toxic")), "narrow")  # equal texts once
     pick = lambda y, n: smallest_hashes(narrow.where(F.col("toxic") == y), n)
-    halves = (F.row_number().over(W.partitionBy("toxic").orderBy("h")) % 2).alias("half")
-    chosen = scratch.write(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_ORDINARY)).select("*", halves), "chosen")
-    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "toxic", "half", "text")  # whole; at most the sample's rows
-    sample = scratch.write(texts.mapInArrow(_plain_rows, "h long, toxic int, half int, plain binary"), "sample")
+    folds = (F.row_number().over(W.partitionBy("toxic").orderBy("h")) % FOLDS).alias("fold")
+    chosen = scratch.write(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_ORDINARY)).select("*", folds), "chosen")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "toxic", "fold", "text")  # whole; at most the sample's rows
+    sample = scratch.write(texts.mapInArrow(_plain_rows, "h long, toxic int, fold int, plain binary"), "sample")
     if sample.count() > chosen.count():  # repeated rows
         sample = scratch.write(sample.dropDuplicates(["h"]), "sample")
     return train(sample, scratch)
