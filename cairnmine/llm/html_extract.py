@@ -1,10 +1,17 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes a sequence of text blocks. Each block has a cost from a classifier (tag ancestry, class and id words,
-link density, length): in favour of content it is a capacity from the source, against it a capacity to the sink.
-Neighbouring blocks, and blocks that are near in the element tree, are tied by smoothness edges. The minimum cut labels
-blocks: what stays with the source is content. Blocks whose terminal capacity exceeds all that ties them are settled
-first (their edges are saturated in any maximum flow), the rest by augmenting paths.
+A page becomes a sequence of text blocks. Each block has a cost from a classifier, a sum of log-odds: elements and roles that
+hold no article (nav, footer, ...), names of class and id, phrases of notices, link density, length, headings, and whether the
+block stands outside of an article element on a page that has one. In favour of content it is a capacity from the source,
+against it a capacity to the sink. Blocks that follow each other, and blocks that are near in the element tree, are tied by
+smoothness edges, weaker where the tree's evidence changes. The minimum cut labels blocks: what stays with the source is
+content, so that a block's neighbours can overrule its own sign both ways (a link between paragraphs, plain text in a menu).
+Blocks whose terminal capacity exceeds all that ties them are settled first (their edges are saturated in any maximum flow),
+the rest by augmenting paths.
+
+Weights are fixed parameters, not fitted: pages carry no labels. No evidence is absolute: the strongest cue is ``STRONG``, and
+what speaks for content can reach 8. A name counts in full if all its words are known, and as a hint if it has other words
+(``social-history``).
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in
 page order by two line feeds. Scripts, styles, comments, forms and markup are no text. Nothing else is dropped or cut.
@@ -32,19 +39,23 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NO_TEXT = frozenset("script style head title template noscript textarea select option button svg math iframe object audio video canvas map datalist".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body nav aside header footer form blockquote".split())
+#: Words of names (class, id) and roles that speak against content, for it, or neither way.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner alert breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus disclaimer dropdown footer footnote-nav gdpr header login masthead menu menus modal "
+    "ad ads adv advert adverts advertisement advertising banner alert breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus disclaimer dropdown footer gdpr header login masthead menu menus modal "
     "nav navbar navigation navi newsletter notice notices overlay pager pagination paging popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 HEADER_WORDS = frozenset("header masthead banner".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
-OUTSIDE, INSIDE = BOILER_WORDS, BOILER_WORDS - HEADER_WORDS
-#: Costs of the classifier, in nats of log-odds for content.
-HARD, ARTICLE, GOOD_WORD, PLAIN, PER_CHAR, MOST_LENGTH, LINKS, HEADING = 40.0, 4.0, 2.0, 0.5, 1 / 120, 3.0, -5.0, 0.4
-#: Capacities of smoothness edges: neighbours in the page, with the same parent, or with parents that share theirs.
-ADJACENT, SIBLINGS, COUSINS = 0.4, 0.8, 0.4
+NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container footnote form global icons inner item left link links list message page panel policy primary right secondary section site slot top unit user wrap wrapper".split())
+PHRASES = re.compile(r"all rights reserved|©|\bcopyright\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\b(?:accept|use|uses) cookies\b|\bsubscribe (?:to|now)\b|\bnewsletter\b|\bsign (?:up|in) \b|\blog in\b|^advertisement\b|\bsponsored (?:by|content|post)\b|\bfollow us\b|\bshare this\b|\brelated (?:posts|articles|stories)\b|\bleave a (?:reply|comment)\b", re.I)
+#: Costs of the classifier, in nats of log-odds for content. PHRASE fades in blocks of over 120 characters.
+STRONG, HINT, ARTICLE, GOOD_WORD, PLAIN, PER_CHAR, MOST_LENGTH, LINKS, HEADING, TITLE, OUTSIDE, PHRASE = -9.0, -3.0, 4.0, 2.0, 0.5, 1 / 120, 3.0, -4.0, 0.4, 4.0, -4.0, -4.0
+LEAST_ARTICLE = 200
+#: Capacities of smoothness edges: neighbours in the page, with the same parent, or with parents that share theirs; CHANGE: their
+#: part where one block's elements speak against content and the other's don't.
+ADJACENT, SIBLINGS, COUSINS, CHANGE = 0.8, 1.2, 0.6, 0.25
 
 _TOKEN = re.compile(r"<!--(?:.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -56,7 +67,7 @@ _WORD = re.compile(r"[a-z]+")
 class Element:
     tag: str
     parent: Element | None
-    boiler: bool
+    against: float  # the strongest evidence of the element and those around it, 0 or less
     content: int
     silent: bool
 
@@ -68,31 +79,42 @@ class Block:
     cost: float
 
 
+def _named(value: str, inside: bool) -> tuple[float, bool]:
+    """What names say: evidence against content, and whether one speaks for it."""
+    against, good = 0.0, False
+    for name in value.split():
+        words = _WORD.findall(name)
+        bad = [w for w in words if w in BOILER_WORDS and not (inside and w in HEADER_WORDS)]  # an article's own head is part of it
+        if bad:
+            known = all(w in BOILER_WORDS or w in CONTENT_WORDS or w in NEUTRAL_WORDS for w in words)
+            against = min(against, STRONG if known else HINT)
+        elif not CONTENT_WORDS.isdisjoint(words):
+            good = True
+    return against, good
+
+
 def _open(tag: str, attrs: str, up: Element) -> Element:
-    boiler, content, silent = up.boiler, up.content, up.silent or tag in NO_TEXT
+    against, content, silent = up.against, up.content, up.silent or tag in NO_TEXT
     if tag in ("article", "main"):
         content = max(content, 2)
     if tag in BOILER_TAGS or tag == "header" and up.content < 2:
-        boiler = True
+        against = STRONG
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                boiler = True
-            elif name == "role":
-                boiler |= value in BOILER_ROLES
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in BOILER_ROLES:
+                against = STRONG
             elif name in ("class", "id"):
-                found = _WORD.findall(value)
-                words = OUTSIDE if up.content < 2 else INSIDE  # an article's own head is part of it
-                if tag not in ("html", "body", "article", "main") and not words.isdisjoint(found):
-                    boiler = True
-                elif not CONTENT_WORDS.isdisjoint(found):
+                bad, good = _named(value, up.content == 2)
+                if tag not in ("html", "body", "article", "main"):
+                    against = min(against, bad)
+                if good and not bad:
                     content = max(content, 1)
-    return Element(tag, up, boiler, content, silent)
+    return Element(tag, up, against, content, silent)
 
 
 def blocks(html: str) -> list[Block]:
-    root = here = Element("", None, False, 0, False)
+    root = here = Element("", None, 0.0, 0, False)
     out: list[Block] = []
     parts: list[str] = []
     linked: list[int] = [0, 0]  # characters in links, in all
@@ -160,30 +182,34 @@ def blocks(html: str) -> list[Block]:
                 close = _RAW[tag].search(html, pos)
                 pos = close.start() if close else n
     flush()
+    if sum(len(b.text) for b in out if b.element.content == 2 and b.cost > 0) >= LEAST_ARTICLE:
+        for b in out:
+            if b.element.content < 2:
+                b.cost += OUTSIDE
     return out
 
 
 def _cost(text: str, e: Element, links: float) -> float:
     """Positive in favour of content."""
-    if e.boiler:
-        return -HARD
-    score = PLAIN + min(MOST_LENGTH, len(text) * PER_CHAR) + LINKS * links
-    score += (0.0, GOOD_WORD, ARTICLE)[e.content]
-    return score + (HEADING if e.tag in ("h1", "h2", "h3") else 0.0)
+    score = PLAIN + min(MOST_LENGTH, len(text) * PER_CHAR) + LINKS * links + e.against + (0.0, GOOD_WORD, ARTICLE)[e.content]
+    if PHRASES.search(text):
+        score += PHRASE * min(1.0, 120 / len(text))
+    return score + (TITLE if e.tag == "h1" else HEADING if e.tag in ("h2", "h3") else 0.0)
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours in the page, stronger the nearer they are in the tree, and between a parent's next blocks."""
     edges, last = [], {}
+    tie = lambda i, j, w: edges.append((i, j, w if found[i].element.against == found[j].element.against else w * CHANGE))
     for i, b in enumerate(found):
         up = b.element.parent
         if i:
             a = found[i - 1].element
             near = SIBLINGS if a is b.element or a.parent is up else COUSINS if a.parent and up and a.parent.parent is up.parent else 0.0
-            edges.append((i - 1, i, ADJACENT + near))
+            tie(i - 1, i, ADJACENT + near)
         j = last.get(id(up))
         if j is not None and j < i - 1:
-            edges.append((j, i, SIBLINGS))
+            tie(j, i, SIBLINGS)
         last[id(up)] = i
     return edges
 

@@ -78,9 +78,41 @@ def test_min_cut_against_all_labellings():
         assert abs(price(html_extract.min_cut(cost, edges)) - best) < 1e-9
 
 
+def signs_and_labels(html):
+    found = html_extract.blocks(html)
+    return {b.text: (b.cost > 0, kept) for b, kept in zip(found, html_extract.min_cut([b.cost for b in found], html_extract.smoothness(found)))}
+
+
+LONG = "A sentence of an article that goes on for a while, so that nobody takes it for a label. " * 2
+
+
+def test_cut_overrules_a_block_both_ways():
+    got = signs_and_labels(f"<div><p>{LONG}1</p><p><a href=x>A figure</a></p><p>{LONG}2</p></div>")
+    assert got["A figure"] == (False, True) and all(kept for _, kept in got.values())
+    got = signs_and_labels("<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li>You are here</li><li><a href=c>Four</a></li><li><a href=d>Five</a></li></ul>")
+    assert got["You are here"] == (True, False) and not any(kept for _, kept in got.values())
+
+
+PAGES = [  # (html, content, not content)
+    (f"<article><p>{LONG}</p><div class='social-history'>How people lived then.</div><p>{LONG}</p></article>", ["How people lived then."], []),
+    (f"<div class='xx'>Buy our shoes today, they are cheap.</div><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article><div class='bottom'>All rights reserved</div>", ["T"], ["Buy our shoes today, they are cheap.", "All rights reserved"]),
+    (f"<div id=w><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div class='q'>\u00a9 2020 Somebody</div><div><p>We use cookies on this site</p></div>", ["Head"], ["\u00a9 2020 Somebody", "We use cookies on this site"]),
+    (f"<article><p>{LONG}</p><div class='ad-slot-3'>{LONG}ad</div><p>{LONG}</p><footer>Filed under things</footer><section class='user-comments'><p>{LONG * 3}reader</p></section></article>", [], [f"{LONG}ad", "Filed under things", f"{LONG * 3}reader"]),
+    (f"<main><div class='post-content'><p>{LONG}</p><ul><li>First point</li><li>Second point</li></ul></div></main><aside><p>{LONG}side</p></aside>", ["First point", "Second point"], [f"{LONG}side"]),
+]
+
+
+@pytest.mark.parametrize("html,content,rest", PAGES)
+def test_pages_without_tell_tale_names(html, content, rest):
+    got = html_extract.main_text(html).split("\n\n")
+    assert all(x.strip() in got for x in content) and LONG.strip() in got and not any(x.strip() in got for x in rest)
+
+
 def test_extract_keeps_rows(spark):
-    df = pages(spark, [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)])
-    assert sorted(map(str, html_extract.extract(df).collect())) == sorted(map(str, [(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)])) or html_extract.extract(df).count() == 3
+    rows = [(1, "u", "<p>x", 9, "a"), (1, "u", "<p>x", 9, "a"), (None, None, None, None, None), (2, "v", "", 0, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string")  # clashing names
+    got = sorted(tuple(r) for r in html_extract.extract(df).fillna({"page_id": 0, "url": "-"}).collect())
+    assert got == [(0, "-", "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (2, "v", "", 0)]
     assert html_extract.extract(df.where("false")).count() == 0
 
 
