@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none."""
+    """The shared folder of the cluster; a local session that names none gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cairnmine-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -119,7 +121,7 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
 
 
-def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) for each id in an edge; component is the least id.
 
     Alternates large-star and small-star steps (each a grouped minimum and a join), which need a logarithmic number of
@@ -130,7 +132,7 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.write(e, "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         if e.count() <= LOCAL_EDGES:
             return scratch.write(e.coalesce(1).mapInArrow(_finish, "id long, component long"), "components")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
