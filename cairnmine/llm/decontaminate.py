@@ -1,11 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
 
 Test items are short and documents long, so a document's own minwise values say little about an item inside it. The
-search therefore sketches the items: an item's ``k`` minwise shingles (k by size class, a power of two of its shingles)
-are looked up among all shingles of a document, and the share found estimates how much of the item the document
-contains. Items of one size class share their sketch size and the least count of hits, which lies five standard
-deviations below the threshold, and a document is not compared with classes of items too large for it. Every candidate
-(document, item) is then verified on full shingle sets: containment = |shared shingles| / |item's shingles| >= 0.8.
+search therefore sketches the items: an item's ``k`` minwise shingles are looked up among all shingles of a document, and the
+share found estimates how much of the item the document contains.
+
+Items are partitioned by size (a power of two of their shingles). Every partition is an index of its own, with its sketch size
+k, its least count of hits (five standard deviations below the threshold) and its least size: a document looks its shingles up
+only in partitions whose items it is large enough to contain. Every candidate (document, item) is then verified on full
+shingle sets: containment = |shared shingles| / |item's shingles| >= 0.8.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text, so case and punctuation don't hide
 a passage; a shingle is five words; an item of fewer words is one run of its own length.
@@ -50,7 +52,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Index:
-    """Sketches and sets of one block of items whose shingles have ``run`` words each."""
+    """Sketches and sets of one block's items of one size class, whose shingles have ``run`` words each."""
 
     run: int
     ids: list[int]
@@ -62,10 +64,10 @@ class Index:
 
     @classmethod
     def of(cls, run: int, ids: list[int], sets: list[np.ndarray]) -> Index:
+        sketch = 8 * len(sets[0]).bit_length()  # the class's size
         hashes, item, least = [], [], []
         for i, s in enumerate(sets):
-            size_class = len(s).bit_length()
-            k = min(len(s), 8 * size_class)
+            k = min(len(s), sketch)
             order = np.argsort(tx.mix(s ^ tx.U(0xC2B2AE3D27D4EB4F)))[:k]
             hashes.append(s[order])
             item.append(np.full(k, i))
@@ -75,10 +77,10 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         return cls(run, ids, sets, hashes[order], item[order], np.array(least), np.array([len(s) for s in sets]))
 
-    def search(self, h: np.ndarray, first: np.ndarray, passed: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, item, shared shingles) of what the threshold lets pass."""
-        run, row = tx.runs(h, first, self.run)
-        maybe = np.flatnonzero(passed[(run & tx.U(_MASK)).astype(np.int64)])
+    def search(self, run: np.ndarray, row: np.ndarray, per_row: np.ndarray, cuts: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, shared shingles) of what the threshold lets pass. run, row: all shingles and their rows, which have
+        ``per_row`` each and begin at ``cuts``; maybe: positions that the filter let pass."""
+        maybe = maybe[100 * per_row[row[maybe]] >= THRESHOLD * self.n.min()]
         lo, hi = np.searchsorted(self.hashes, run[maybe], "left"), np.searchsorted(self.hashes, run[maybe], "right")
         maybe, lo, hi = maybe[hi > lo], lo[hi > lo], hi[hi > lo]
         if not len(maybe):
@@ -87,37 +89,42 @@ class Index:
         entry = np.repeat(lo - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         hit = np.unique(np.stack([np.repeat(row[maybe], times), entry], axis=1), axis=0)
         pairs, hits = np.unique(np.stack([hit[:, 0], self.item[hit[:, 1]]], axis=1), axis=0, return_counts=True)
-        per_row = np.bincount(row, minlength=len(first) - 1)
         ok = (hits >= self.least_hits[pairs[:, 1]]) & (100 * per_row[pairs[:, 0]] >= THRESHOLD * self.n[pairs[:, 1]])
-        cuts = np.searchsorted(row, np.arange(len(first)))
         for r, i in pairs[ok].tolist():
             shared = int(np.isin(self.sets[i], run[cuts[r] : cuts[r + 1]]).sum())
             if 100 * shared >= THRESHOLD * len(self.sets[i]):
                 yield r, i, shared
 
 
-def _bitmap(index: Index) -> np.ndarray:
-    bits = np.zeros(_MASK + 1, bool)
-    bits[(index.hashes & tx.U(_MASK)).astype(np.int64)] = True
-    return bits
+def _filters(indexes: list[Index]) -> dict[int, np.ndarray]:
+    """For each length of run, which low bits the sketches of its partitions have."""
+    out: dict[int, np.ndarray] = {}
+    for x in indexes:
+        out.setdefault(x.run, np.zeros(_MASK + 1, bool))[(x.hashes & tx.U(_MASK)).astype(np.int64)] = True
+    return out
 
 
-def _found(batch: pa.RecordBatch, indexes: list[Index], bitmaps: list[np.ndarray]) -> Iterator[tuple[int, Index, int, int]]:
+def _found(batch: pa.RecordBatch, indexes: list[Index], filters: dict[int, np.ndarray]) -> Iterator[tuple[int, Index, int, int]]:
     data, off = tx.string_buffers(lowered(batch.column("text")))
     for a, b in tx.chunks(off):
         h, first = tx.words(data, off[a : b + 1], tx.ALNUM)
-        for index, bits in zip(indexes, bitmaps):
-            for r, i, shared in index.search(h, first, bits):
-                yield a + r, index, i, shared
+        for size, bits in filters.items():
+            run, row = tx.runs(h, first, size)
+            maybe = np.flatnonzero(bits[(run & tx.U(_MASK)).astype(np.int64)])
+            if len(maybe):
+                per_row, cuts = np.bincount(row, minlength=len(first) - 1), np.searchsorted(row, np.arange(len(first)))
+                for index in (x for x in indexes if x.run == size):
+                    for r, i, shared in index.search(run, row, per_row, cuts, maybe):
+                        yield a + r, index, i, shared
 
 
 def _pairs(shared) -> Callable:
     def run(batches):
         indexes = shared.value
-        bitmaps = [_bitmap(x) for x in indexes]
+        filters = _filters(indexes)
         for b in batches:
             ids = b.column("doc_id")
-            rows = [(ids[r].as_py(), x.ids[i], int(x.n[i]), k) for r, x, i, k in _found(b, indexes, bitmaps)]
+            rows = [(ids[r].as_py(), x.ids[i], int(x.n[i]), k) for r, x, i, k in _found(b, indexes, filters)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "n_shingles", "n_shared"])
 
@@ -127,11 +134,11 @@ def _pairs(shared) -> Callable:
 def _clean(shared, text_col: str) -> Callable:
     def run(batches):
         indexes = shared.value
-        bitmaps = [_bitmap(x) for x in indexes]
+        filters = _filters(indexes)
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             own = pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(text_col))], ["text"])
-            keep[[r for r, *_ in _found(own, indexes, bitmaps)]] = False
+            keep[[r for r, *_ in _found(own, indexes, filters)]] = False
             yield b.filter(pa.array(keep))
 
     return run
@@ -143,12 +150,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[I
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total * 3 // (2 * BLOCK)))
     for b in range(blocks):
-        by_run: dict[int, tuple[list, list]] = {}
+        classes: dict[tuple[int, int], tuple[list, list]] = {}
         for r in sets.where(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).collect():  # about BLOCK shingles of eight bytes
-            ids, own = by_run.setdefault(r["run"], ([], []))
+            ids, own = classes.setdefault((r["run"], r["n"].bit_length()), ([], []))
             ids.append(r["item_id"])
             own.append(np.frombuffer(bytes(r["shingles"]), tx.U))
-        yield [Index.of(run, ids, own) for run, (ids, own) in sorted(by_run.items())]
+        yield [Index.of(run, ids, own) for (run, _), (ids, own) in sorted(classes.items())]
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -25,11 +25,11 @@ FROM f LEFT JOIN c ON f.n > 0 AND c.s = f.s LEFT JOIN m ON m.id = c.rep
 
 SQL["op4_decontaminate"] = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
-bw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM bw)),
+bw AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, k AS size, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bw)),
+ds AS (SELECT DISTINCT doc_id, k AS size, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM bw))),
 bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
-x AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (s) GROUP BY ALL)
+x AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (size, s) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(k AS BIGINT) AS n_shared, CAST(k AS DOUBLE) / CAST(n AS DOUBLE) AS containment
 FROM x JOIN bn USING (item_id) WHERE 100 * k >= 80 * n
 """
@@ -44,7 +44,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 SQL["op10_url_filter"] = r"""
 WITH rules(h, p, v, named) AS (VALUES ('com', '/en/', 'block', true), ('example.com', '/en/7', 'allow', true), ('net', '/de/', 'block', true), ('example.net', '/de/8', 'block', true), ('org', '/es/', 'block', true),
-  ('casino-win.example.org', '/', 'block', false), ('spam-farm.example.org', '/', 'block', false)),
+  ('casino-win.example.org', '', 'block', false), ('spam-farm.example.org', '', 'block', false)),
 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 x AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 f AS (SELECT page_id, h || p AS rule, v, named FROM x JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
