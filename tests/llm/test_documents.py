@@ -129,6 +129,22 @@ def test_top_k_prunes_with_bounds():
         assert (topk_search._stats(q, s) @ topk_search._stats(x, s).T >= q @ x.T - 1e-3).all()
 
 
+def clustered(n, dims=64, clusters=20, spread=0.05, seed=3):
+    rng = np.random.RandomState(seed)
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[np.arange(n) % clusters] + spread * rng.normal(size=(n, dims))
+    return [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+
+
+def test_top_k_computes_few_pairs_of_clustered_vectors(spark):
+    rows = clustered(6000)
+    df, computed = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2), spark.sparkContext.accumulator(0)
+    got = {tuple(r) for r in topk_search.top_k(df, k=5, every=25, computed=computed).collect()}
+    share = computed.value / (6000 * 240)
+    print(f"pairs computed: {share:.3f}")
+    assert got == plain_top(rows, 25, 5) and 0 < share < 0.25
+
+
 def plain_contained(docs, items):
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
     runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
