@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Importing these modules registers their queries."""
-    from .plans import modelqueries, relational, tensorqueries  # noqa: F401
+    from .plans import ioqueries, modelqueries, relational, tensorqueries  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,21 @@ def suspect_properties(edges: DataFrame, users: DataFrame, prop: str) -> DataFra
     return own.groupBy(F.col("dst").alias("sink")).agg(F.sort_array(F.collect_list(prop)).alias("props")).where(F.size("props") >= 2)
 
 
+def add_suspects(now: DataFrame, edges: DataFrame, users: DataFrame, prop: str) -> DataFrame:
+    """(sink, props array) after more suspects: only their edges are read. Give rows of all sinks, with any number of properties."""
+    own = edges.join(users.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("sink")).agg(F.collect_list(prop).alias("_new"))
+    both = now.join(own, "sink", "full")
+    return both.select("sink", F.sort_array(F.concat(F.coalesce("props", F.array().cast(own.schema["_new"].dataType)), F.coalesce("_new", F.array().cast(own.schema["_new"].dataType)))).alias("props"))
+
+
+def remove_suspects(now: DataFrame, edges: DataFrame, users: DataFrame, prop: str) -> DataFrame:
+    """The same after suspects leave: each of their properties goes once."""
+    own = edges.join(users.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("sink"), F.col(prop).alias("v"), F.lit(-1).alias("k"))
+    all_ = now.select("sink", F.explode("props").alias("v"), F.lit(1).alias("k")).unionByName(own)
+    left = all_.groupBy("sink", "v").agg(F.sum("k").alias("k")).where("k > 0").select("sink", F.explode(F.array_repeat("v", F.col("k").cast("int"))).alias("v"))
+    return left.groupBy("sink").agg(F.sort_array(F.collect_list("v")).alias("props"))
+
+
 def scale_by_max(df: DataFrame, c: str) -> DataFrame:
     top = df.agg(F.max(c).alias("_top"))
     return df.crossJoin(F.broadcast(top)).withColumn(c, F.try_divide(F.col(c), F.col("_top"))).drop("_top")  # one row

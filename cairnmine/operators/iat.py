@@ -29,6 +29,11 @@ def counts(diffs: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(diffs.agg(F.count("*").alias("_t")))).select("iat", "n", (F.col("n") / F.col("_t")).alias("p"))  # one row
 
 
+def density_curve(diffs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """(iat, n, p) of the users (user), or of all: the points of a curve."""
+    return counts(diffs if users is None else diffs.join(users.select("user").distinct(), "user", "left_semi"))
+
+
 def pairs(diffs: DataFrame, bin_: bool = False) -> DataFrame:
     """(user, k, iat1, iat2): consecutive differences, optionally in binary-logarithm bins."""
     w = W.partitionBy("user").orderBy("k")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, histogram
+from .laws import Law, description_length, fit_mixture, fit_normal, fit_truncated, is_truncated, moments, normal_cdf
 
 #: Least cell probability by strictness, and 5 % point of the Anderson-Darling statistic with fitted parameters.
 CRITICAL = (0.1, 0.05, 0.01, 1e-3, 1e-4, 1e-5)
@@ -24,10 +25,6 @@ AD_5 = 0.752
 EFFECTIVE = 200
 
 
-def normal_cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(np.asarray(z, float) / math.sqrt(2)))
-
-
 def chi2_tail(x: float, d: int) -> float:
     """P(chi-square of d degrees > x), by the series of the incomplete gamma function."""
     a, x = d / 2, x / 2
@@ -62,22 +59,6 @@ def weighted_ad(x: np.ndarray, w: np.ndarray) -> float:
     return a2 * (1 + 0.75 / n + 2.25 / n**2)
 
 
-def upper_tail_statistic(z: np.ndarray) -> float:
-    """Quadratic Anderson-Darling statistic with weight 1 / (1 - F)^2 of sorted probabilities."""
-    n = len(z)
-    z = np.clip(np.sort(z), 1e-12, 1 - 1e-12)
-    k = np.arange(1, n + 1)
-    return float(2 * np.log(1 - z).sum() + ((1 + 2 * (n - k)) / (1 - z)).sum() / n)
-
-
-def truncated_gof(x: np.ndarray, mean: float, std: float, low: float = -np.inf, sims: int = 100, seed: int = 0) -> float:
-    """p-value of the upper-tail statistic for a normal truncated below ``low``, by simulation of the fitted law."""
-    base = float(normal_cdf(np.array([(low - mean) / std]))[0]) if np.isfinite(low) else 0.0
-    u = (normal_cdf((np.asarray(x, float) - mean) / std) - base) / max(1 - base, 1e-12)
-    own, rng = upper_tail_statistic(u), np.random.RandomState(seed)
-    return float(np.mean([upper_tail_statistic(rng.uniform(size=len(u))) >= own for _ in range(sims)]))
-
-
 @dataclass
 class Island:
     cells: frozenset
@@ -168,11 +149,36 @@ def expand(node: Island) -> Island:
     return node
 
 
+def heavy_path(roots: list[Island], n: dict) -> list[Island]:
+    """The fullest root, its fullest child, and so on."""
+    out, now = [], roots
+    while now:
+        out.append(max(now, key=lambda i: sum(n[c] for c in i.cells)))
+        now = out[-1].children
+    return out
+
+
+def describe(roots: list[Island], n: dict, law: str = "normal") -> list[tuple[Island, Law]]:
+    """Every island of the trees with its law: ``normal`` or ``truncated`` (at 0); two of them mixed on the heavy path."""
+    heavy, todo, out = {id(i) for i in heavy_path(roots, n)}, list(roots), []
+    while todo:
+        i = todo.pop(0)
+        out.append((i, law_of(i, n, law, id(i) in heavy)))
+        todo += i.children
+    return out
+
+
+def law_of(island: Island, n: dict, law: str, mixed: bool) -> Law:
+    cells = sorted(island.cells)
+    left, w = np.array(cells, float), np.array([n[c] for c in cells], float)
+    low = 0.0 if law == "truncated" else None
+    if mixed and len(cells) > 3 * left.shape[1]:
+        return fit_mixture(left, w, 2, low)
+    return fit_truncated(left, w, low) if low is not None else fit_normal(left, w)
+
+
 def fit(cells: list, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array(cells, float) + 0.5
-    mean = (w[:, None] * x).sum(axis=0) / w.sum()
-    d = x - mean
-    return mean, (w[:, None] * d).T @ d / w.sum() + np.eye(x.shape[1]) / 12  # a cell's own variance
+    return moments(np.array(cells, float), w)
 
 
 def is_normal(cells: list, w: np.ndarray) -> bool:
@@ -182,8 +188,13 @@ def is_normal(cells: list, w: np.ndarray) -> bool:
     return all(weighted_ad(x @ vec[:, k], w) < AD_5 for k in range(x.shape[1]))
 
 
-def search(roots: list[Island], n: dict, min_points: int = 20) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """(mean, covariance, mass) of accepted islands, breadth first: one that fits, or has no children, is taken whole."""
+def search(roots: list[Island], n: dict, min_points: int = 20, law: str = "normal") -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(mean, covariance, mass) of accepted islands, breadth first: one that fits, or has no children, is taken whole.
+
+    law: ``normal`` tests along eigenvectors; ``truncated`` fits normals cut off at 0, a mixture of two on the heavy path, and
+    tests each dimension's upper tail by simulation; a mixture that fits counts as its components.
+    """
+    heavy = {id(i) for i in heavy_path(roots, n)} if law == "truncated" else set()
     todo, out = list(roots), []
     while todo:
         i = todo.pop(0)
@@ -191,13 +202,45 @@ def search(roots: list[Island], n: dict, min_points: int = 20) -> list[tuple[np.
         w = np.array([n[c] for c in cells], float)
         if w.sum() < min_points:
             continue
-        if not i.children or is_normal(cells, w):
+        if law == "truncated":
+            found = law_of(i, n, law, id(i) in heavy)
+            if not i.children or is_truncated(np.array(cells, float), w, found):
+                out += [(m, c, float(w.sum() * x)) for m, c, x in zip(found.means, found.covs, found.weights) if w.sum() * x >= 1]
+                continue
+        elif not i.children or is_normal(cells, w):
             out.append((*fit(cells, w), float(w.sum())))
-        else:
-            todo += i.children
+            continue
+        todo += i.children
     return out
 
 
+def are_close(a: tuple, b: tuple) -> bool:
+    """Centres nearer than twice the larger of 1 and the deviations' sum."""
+    return float(np.linalg.norm(a[0] - b[0])) < 2 * max(1.0, float((np.sqrt(np.diag(a[1])) + np.sqrt(np.diag(b[1]))).max()))
+
+
+def merge_by_loss(islands: list[Island], n: dict, law: str = "normal", most_loss: float = np.inf) -> list[tuple[Island, Law]]:
+    """Islands with their laws after merging close ones, each time the pair that costs the least log-likelihood for a point, as long as
+    that is at most ``most_loss``."""
+    now = [(i, law_of(i, n, law, False)) for i in islands]
+    loss = lambda i, own: own.loss(np.array(sorted(i.cells), float), np.array([n[c] for c in sorted(i.cells)], float))
+    while len(now) > 1:
+        best = None
+        for a in range(len(now)):
+            for b in range(a + 1, len(now)):
+                (x, p), (y, q) = now[a], now[b]
+                if are_close((p.means[0], p.covs[0]), (q.means[0], q.covs[0])):
+                    both = Island(x.cells | y.cells, min(x.level, y.level))
+                    own = law_of(both, n, law, False)
+                    cost = (loss(both, own) - loss(x, p) - loss(y, q)) / sum(n[c] for c in both.cells)
+                    if cost <= most_loss and (best is None or cost < best[0]):
+                        best = (cost, a, b, (both, own))
+        if best is None:
+            break
+        now = [v for k, v in enumerate(now) if k not in best[1:3]] + [best[3]]
+    return now
+
+
 def stitch(found: list[tuple]) -> list[tuple]:
     """Merges islands whose centres are nearer than twice the larger of 1 and their summed deviations, nearest first, as long
     as the merged deviation stays below that sum."""
@@ -253,22 +296,28 @@ def divergence(clusters: list[tuple], cells: list, n: np.ndarray, label: np.ndar
     return out
 
 
-def cluster_cells(cells: DataFrame, strictness: int = 3, step: float = 0.2, alpha: float = 0.8, min_points: int = 20) -> DataFrame:
-    """(cell, n, label, p, suspicious) of cells (cell array, n, weight)."""
+def cluster_cells(cells: DataFrame, strictness: int = 3, step: float = 0.2, alpha: float = 0.8, min_points: int = 20, law: str = "normal") -> DataFrame:
+    """(cell, n, label, p, suspicious, bits) of cells (cell array, n, weight); bits: the whole description's length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [tuple(int(v) for v in c) for c in pdf["cell"]]
         n = dict(zip(keys, pdf["n"].astype(float)))
         roots = [expand(prune(r, n, alpha)) for r in level_tree({c: math.log2(1 + v) for c, v in n.items()}, step=step)]
-        clusters = stitch(search(roots, n, min_points))
+        clusters = stitch(search(roots, n, min_points, law))
         order = sorted(n)
         at = {c: k for k, c in enumerate(keys)}
         count, weight = np.array([n[c] for c in order]), pdf["weight"].to_numpy(float)[[at[c] for c in order]]
         label, p = label_cells(order, clusters, strictness)
+        laws = [Law(m[None], c[None], np.ones(1), np.zeros(len(m)) if law == "truncated" else None) for m, c, _ in clusters]
+        left = np.array(order, float)
+        expected = np.zeros(len(order))
+        for k, own in enumerate(laws):
+            expected[label == k] = own.probability(left[label == k], left[label == k] + 1) if (label == k).any() else 0.0
+        bits = description_length(count, label, expected, laws, tuple(int(v) + 1 for v in left.max(axis=0)))
         kl = divergence(clusters, order, count, label, weight / max(weight.max(initial=0), 1e-12))
-        return pd.DataFrame({"cell": [list(c) for c in order], "n": count.astype(int), "label": label, "p": p, "suspicious": [float(kl[k]) if k >= 0 else None for k in label]})
+        return pd.DataFrame({"cell": [list(c) for c in order], "n": count.astype(int), "label": label, "p": p, "suspicious": [float(kl[k]) if k >= 0 else None for k in label], "bits": bits})
 
-    return cells.select("cell", "n", F.col("weight").cast("double").alias("weight")).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "cell array<long>, n long, label int, p double, suspicious double")
+    return cells.select("cell", "n", F.col("weight").cast("double").alias("weight")).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "cell array<long>, n long, label int, p double, suspicious double, bits double")
 
 
 def features(edges: DataFrame, kind: str = "outdegree2hubness") -> DataFrame:
@@ -285,12 +334,12 @@ def features(edges: DataFrame, kind: str = "outdegree2hubness") -> DataFrame:
     return d.join(s, "id").select("id", "degree", "score")
 
 
-def eaglemine(nodes: DataFrame, degree: str = "degree", score: str = "score", bins: int = 80, strictness: int = 3) -> DataFrame:
-    """(id, cell, label, p, suspicious) of nodes (id, degree, score) with positive features."""
+def eaglemine(nodes: DataFrame, degree: str = "degree", score: str = "score", bins: int = 80, strictness: int = 3, law: str = "normal") -> DataFrame:
+    """(id, cell, label, p, suspicious, bits) of nodes (id, degree, score) with positive features."""
     edges = histogram.ticks(nodes, [degree, score], degree=degree, bins=bins)
     binned = histogram.assign(nodes, edges)
     cells = histogram.cells(binned, [degree, score]).withColumn("weight", F.col(f"avg_{degree}"))
-    found = cluster_cells(cells, strictness)
+    found = cluster_cells(cells, strictness, law=law)
     return binned.select("id", "cell").join(found.drop("n"), "cell")
 
 

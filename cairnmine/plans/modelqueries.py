@@ -45,6 +45,34 @@ def _(spark, d):
     return peel.specgreedy(supplies(spark, d), k=2).withColumn("density", F.round("density", 6))
 
 
+@query("specgreedy_undirected_block")
+def _(spark, d):
+    return peel.specgreedy_undirected(trade(spark, d)).withColumn("density", F.round("density", 6))
+
+
+@query("holoscope_tensor_block")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.month("l_shipdate").alias("month"), F.col("l_quantity").alias("w"))
+    return holoscope.holoscope(supplies(spark, d), n_vectors=2, tensor=(t, ["month"])).withColumn("score", F.round("score", 6)).withColumn("objective", F.round("objective", 6))
+
+
+@query("suspects_added", """SELECT l_partkey AS sink, list_sort(list(l_linenumber)) AS props FROM lineitem WHERE l_suppkey % 10 IN (0, 3) GROUP BY 1""")
+def _(spark, d):
+    """Suspects in two steps."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
+    some = lambda k: table(spark, d, "supplier").where(f"s_suppkey % 10 = {k}").select(F.col("s_suppkey").alias("id"))
+    none = spark.createDataFrame([], "sink long, props array<int>")
+    return bursts.add_suspects(bursts.add_suspects(none, e, some(0), "l_linenumber"), e, some(3), "l_linenumber")
+
+
+@query("suspects_removed", "SELECT l_partkey AS sink, list_sort(list(l_linenumber)) AS props FROM lineitem WHERE l_suppkey % 10 = 3 GROUP BY 1")
+def _(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
+    some = lambda c: table(spark, d, "supplier").where(c).select(F.col("s_suppkey").alias("id"))
+    all_ = bursts.add_suspects(spark.createDataFrame([], "sink long, props array<int>"), e, some("s_suppkey % 10 in (0, 3)"), "l_linenumber")
+    return bursts.remove_suspects(all_, e, some("s_suppkey % 10 = 0"), "l_linenumber")
+
+
 @query("eigenspokes")
 def _(spark, d):
     return peel.eigenspokes(supplies(spark, d), 3).withColumn("score", F.round("score", 6))
@@ -83,7 +111,18 @@ def _(spark, d):
     return flow.cubeflow_plus(*coupled(spark, d)).withColumn("score", F.round("score", 3))
 
 
-@query("cube_component_score")
+_MONTH, _CENTS = "CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT)", "CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
+@query("cube_component_score", f"""WITH RECURSIVE a AS (SELECT l_suppkey AS acct, l_partkey AS mid, {_MONTH} AS tbin, sum({_CENTS}) AS amount FROM lineitem GROUP BY ALL),
+c AS (SELECT o_custkey AS acct, l_partkey AS mid, {_MONTH} AS tbin, sum({_CENTS}) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+x AS (SELECT acct * 4 AS x, mid * 4 + 1 AS y FROM a UNION SELECT mid * 4 + 1, acct * 4 + 2 FROM c), e AS (SELECT x, y FROM x UNION ALL SELECT y, x FROM x),
+r(id, component) USING KEY (id) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, min(r.component) FROM r JOIN e ON e.x = r.id JOIN recurring.r o ON o.id = e.y WHERE r.component < o.component GROUP BY e.y),
+i AS (SELECT mid, tbin, sum(amount)::DOUBLE AS i FROM a GROUP BY ALL), o AS (SELECT mid, tbin, sum(amount)::DOUBLE AS o FROM c GROUP BY ALL),
+m AS (SELECT coalesce(i.mid, o.mid) AS mid, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM i FULL JOIN o ON i.mid = o.mid AND i.tbin = o.tbin),
+g AS (SELECT component, sum(least(i, o) - 0.8::DOUBLE * greatest(i, o)) AS g, count(*) AS k FROM m JOIN r ON r.id = mid * 4 + 1 GROUP BY 1),
+n AS (SELECT component, count(*) FILTER (id % 4 = 0) AS n_a, count(*) FILTER (id % 4 = 1) AS n_m, count(*) FILTER (id % 4 = 2) AS n_c FROM r GROUP BY 1)
+SELECT component, n_a, n_m, n_c, round(g / (n_a + k + n_c), 3) AS score FROM n JOIN g USING (component)""")
 def _(spark, d):
     return flow.component_scores(*coupled(spark, d)).withColumn("score", F.round("score", 3))
 
@@ -164,6 +203,12 @@ def _(spark, d):
     return eaglemine.eaglemine(eaglemine.features(purchases(spark, d)), bins=20).select("id", F.array_join(F.col("cell").cast("array<string>"), ",").alias("cell"), "label", F.round("p", 6).alias("p"))
 
 
+@query("eaglemine_truncated_labels")
+def _(spark, d):
+    found = eaglemine.eaglemine(eaglemine.features(purchases(spark, d)), bins=20, law="truncated")
+    return found.select("id", F.array_join(F.col("cell").cast("array<string>"), ",").alias("cell"), "label", F.round("p", 6).alias("p"), F.round("bits", 3).alias("bits"))
+
+
 @query("rpeak_segments")
 def _(spark, d):
     e = events(spark, d).groupBy(F.floor(F.unix_micros("ts") / 3_600_000_000).cast("long").alias("pos")).agg(F.count("*").cast("double").alias("v"))

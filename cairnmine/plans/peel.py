@@ -184,6 +184,29 @@ def specgreedy(edges: DataFrame, rounds: int = 1, k: int = 3, weights: str = "lo
     return out if out is not None else edges.sparkSession.createDataFrame([], "block int, kind string, id long, density double")
 
 
+def specgreedy_undirected(edges: DataFrame, k: int = 5) -> DataFrame:
+    """(id, density): the densest of the exactly peeled subgraphs that outliers of the k leading eigenvectors span, on one node set.
+
+    As in ``specgreedy``, vectors are tried until twice the best density reaches the next eigenvalue.
+    """
+    from ..functions.linalg import outliers, singular
+
+    one = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("w").alias("w"))
+    e = cut(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    sigma, left, _ = singular(e, k)
+    nodes = cut(outliers(left, len(sigma), both_signs=True))
+    best, best_density = None, -1.0
+    for j in range(len(sigma)):
+        if 2 * best_density >= sigma[j]:
+            break
+        own = nodes.where(F.col("vector") == j)
+        found = cut(symmetric(graph.inside(e, own, own)))
+        top = found.agg(F.max("density")).first()[0]
+        if top is not None and top > best_density:
+            best, best_density = found, top
+    return best if best is not None else edges.sparkSession.createDataFrame([], "id long, density double")
+
+
 def eigenspokes(edges: DataFrame, k: int = 5) -> DataFrame:
     """(side, vector, id, score): outliers of the top singular vectors."""
     from ..functions.linalg import outliers, singular

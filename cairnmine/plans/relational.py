@@ -308,9 +308,11 @@ def _(spark, d):
     return _daily(spark, d).add_columns(seven=7.0).extract(["clicks", "seven"]).df
 
 
-@query("series_resample")
+@query("series_resample", f"""WITH {_DAILY}, n AS (SELECT count(*) AS n FROM daily), j AS (SELECT range AS j FROM range((SELECT 2 * n FROM n))), k AS (SELECT range AS k FROM range((SELECT (n - 1) // 2 + 1 FROM n))),
+w AS (SELECT j, pos, sum(CASE WHEN k = 0 THEN 1 ELSE 2 * cos(2 * pi() * k * (j / (2.0::DOUBLE * n) - pos / n::DOUBLE)) END) + max(CASE WHEN n % 2 = 0 THEN cos(pi() * n * (j / (2.0::DOUBLE * n) - pos / n::DOUBLE)) ELSE 0 END) AS w FROM j, k, daily, n GROUP BY ALL)
+SELECT j AS pos, j / 2.0::DOUBLE AS t, round(sum(views * w) / max(n), 6) + 0 AS views, round(sum(clicks * w) / max(n), 6) + 0 AS clicks FROM w JOIN daily USING (pos), n GROUP BY j""")
 def _(spark, d):
-    return _daily(spark, d).resample(2.0).df
+    return _daily(spark, d).resample(2.0).df.select("pos", "t", (F.round("views", 6) + 0).alias("views"), (F.round("clicks", 6) + 0).alias("clicks"))
 
 
 # ---- inter-arrival times -----------------------------------------------------------------------------------------
@@ -339,6 +341,12 @@ def _(spark, d):
     return iat.counts(_diffs(spark, d))
 
 
+@query("iat_density_curve", f"WITH {_IAT}, own AS (SELECT iat FROM diffs WHERE usr % 10 = 0) SELECT iat, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM own) AS p FROM own GROUP BY 1")
+def _(spark, d):
+    """The curve of chosen users."""
+    return iat.density_curve(_diffs(spark, d), events(spark, d).where("user_id % 10 = 0").select(F.col("user_id").alias("user")))
+
+
 @query("iat_pair_count", f"WITH {_IAT} SELECT iat1, iat2, n FROM pc")
 def _(spark, d):
     return iat.pair_counts(iat.pairs(_diffs(spark, d), bin_=True))
@@ -531,12 +539,24 @@ def _(spark, d):
     return graph.pagerank(g, rounds=3).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("core_numbers")
+@query("core_numbers", f"""WITH RECURSIVE {_KN}, b AS MATERIALIZED (SELECT a AS id, b AS n FROM un UNION ALL SELECT b, a FROM un),
+r(id, core) USING KEY (id) AS (SELECT id, count(*) FROM b GROUP BY id UNION
+  SELECT h.id, h.core FROM (SELECT id, max(least(c, k)) AS core FROM (SELECT b.id, x.core AS c, row_number() OVER (PARTITION BY b.id ORDER BY x.core DESC) AS k FROM b JOIN recurring.r x ON x.id = b.n) GROUP BY id) h JOIN recurring.r o ON o.id = h.id
+  WHERE h.core < o.core AND EXISTS (SELECT 1 FROM r))
+SELECT id, core FROM r""")
 def _(spark, d):
     return graph.core_numbers(_knows(spark, d))
 
 
-@query("hits_scores")
+def _hits_sql(rounds: int) -> str:
+    steps = ["h0 AS (SELECT DISTINCT src AS id, 1.0::DOUBLE AS score FROM sp)"]
+    for i in range(1, rounds + 1):
+        for new, old, give, take in ((f"a{i}", f"h{i - 1}", "src", "dst"), (f"h{i}", f"a{i}", "dst", "src")):
+            steps.append(f"{new} AS (SELECT id, s / sqrt(sum(s * s) OVER ()) AS score FROM (SELECT {take} AS id, sum(w * score) AS s FROM sp JOIN {old} ON {old}.id = {give} GROUP BY 1))")
+    return f"WITH {_SP}, {', '.join(steps)} SELECT 'hub' AS side, id, round(score, 6) AS score FROM h{rounds} UNION ALL SELECT 'authority', id, round(score, 6) FROM a{rounds}"
+
+
+@query("hits_scores", _hits_sql(5))
 def _(spark, d):
     hub, auth = graph.hits(supplies(spark, d), 5)
     return hub.select(F.lit("hub").alias("side"), "id", F.round("score", 6).alias("score")).unionByName(auth.select(F.lit("authority").alias("side"), "id", F.round("score", 6).alias("score")))

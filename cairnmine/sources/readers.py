@@ -112,6 +112,11 @@ def lines(spark: SparkSession, path: str, comment: str | None = "#") -> DataFram
     return df.where(~F.col("value").startswith(comment)) if comment else df
 
 
+def _place() -> Column:
+    """Where a line is, in an order that follows names of files and positions in them, however files are dealt to tasks."""
+    return F.struct(F.input_file_name(), F.call_function("input_file_block_start"), F.monotonically_increasing_id())
+
+
 def _parts(sep: str | None) -> Column:
     """Fields of a line; a separator of None is white space."""
     return F.split("value", r"\s+" if sep is None or sep == " " else _quoted(sep))
@@ -150,8 +155,8 @@ def adjacency_lists(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame
 
 def load_dict(spark: SparkSession, path: str, n_keys: int = 1, key_type="int", value_type="float", sep: str = ",") -> DataFrame:
     """(key array, values array) of lines of ``n_keys`` key fields and then values; of equal keys the last line wins."""
-    rows = spark.read.text(resolve(spark, path)).select("value", F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("at"))
-    rows = rows.where((F.trim("value") != "") & ~F.trim("value").startswith("#")).select(F.transform(_parts(sep), F.trim).alias("p"), "at")
+    rows = spark.read.text(resolve(spark, path)).select("value", _place().alias("at"))
+    rows = rows.where((F.trim("value") != "") & ~F.trim("value").startswith("#")).select(F.transform(_parts(sep), lambda x: F.trim(x)).alias("p"), "at")
     cast = lambda c, t: c.cast(f"array<{type_of(t)}>")
     rows = rows.select(cast(F.slice("p", 1, n_keys), key_type).alias("key"), cast(F.slice("p", n_keys + 1, F.size("p")), value_type).alias("values"), "at")
     return rows.groupBy("key").agg(F.max_by("values", "at").alias("values"))
@@ -171,7 +176,7 @@ def load_values(spark: SparkSession, path: str, dtype="str") -> DataFrame:
 
 def load_matrix(spark: SparkSession, path: str, sep: str | None = None, dtype="float") -> DataFrame:
     """(pos, v array): rows of a text matrix in order of lines."""
-    rows = lines(spark, path).select(_parts(sep).cast(f"array<{type_of(dtype)}>").alias("v"), F.monotonically_increasing_id().alias("at"))
+    rows = lines(spark, path).select(_parts(sep).cast(f"array<{type_of(dtype)}>").alias("v"), _place().alias("at"))
     return number(rows, ["at"], "pos").select("pos", "v")
 
 
@@ -207,12 +212,34 @@ def load_matricized(spark: SparkSession, path: str, sum_out: Sequence[int] = (),
 
 def load_stages(spark: SparkSession, path: str, stages: dict[str, Sequence[int]], sep: str = "\t") -> DataFrame:
     """(stage, pos, v array<double>): a wide text table without its id column, its rows dealt to named stages by position."""
-    rows = lines(spark, path).select(F.split("value", _quoted(sep)).alias("p"), F.monotonically_increasing_id().alias("at"))
+    rows = lines(spark, path).select(F.split("value", _quoted(sep)).alias("p"), _place().alias("at"))
     rows = number(rows, ["at"], "pos").select("pos", F.slice("p", 2, F.size("p")).cast("array<double>").alias("v"))
     of = spark.createDataFrame([(s, int(i)) for s, xs in stages.items() for i in xs], "stage string, pos long")
     return rows.join(F.broadcast(of), "pos").select("stage", F.col("pos").cast("long").alias("pos"), "v")  # as many rows as named positions
 
 
+def load_point_cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(id, cell array) of lines ``cell_0,...,cell_d``: the cell of each point, points numbered from 0 in order of lines."""
+    return load_matrix(spark, path, sep, "int").select(F.col("pos").alias("id"), F.col("v").alias("cell"))
+
+
+def points_by_cell(points: DataFrame) -> DataFrame:
+    """(cell array, ids array): the points of each cell, from (id, cell)."""
+    return points.groupBy("cell").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def load_cell_features(spark: SparkSession, path: str, dims: int, sep: str = ",") -> DataFrame:
+    """(cell array, features array<double>) of lines ``cell_0,...,cell_d,f_0,f_1,...``."""
+    p = lines(spark, path).select(F.split("value", _quoted(sep)).alias("p"))
+    return p.select(F.slice("p", 1, dims).cast("array<long>").alias("cell"), F.slice("p", dims + 1, F.size("p")).cast("array<double>").alias("features"))
+
+
+def sniff_header(spark: SparkSession, path: str, sep: str = ",") -> bool:
+    """Whether the first line of a text table names columns: none of its fields is a number."""
+    first = spark.read.text(resolve(spark, path)).select("value", _place().alias("at")).where("trim(value) <> '' and not startswith(value, '#')").orderBy("at").limit(1)
+    return first.select(F.forall(F.split("value", _quoted(sep)), lambda x: F.trim(x).try_cast("double").isNull()).alias("x")).collect() == [(True,)]
+
+
 def open_stream(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", fmt: str = "csv", files_per_trigger: int | None = None) -> DataFrame:
     """A streaming DataFrame over files that arrive in a folder."""
     r = spark.readStream.schema(schema)

@@ -53,6 +53,17 @@ def save_histogram(cells: DataFrame, shape: tuple[int, ...], ticks: list[list[fl
     top.unionByName(body).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode(mode).text(path)
 
 
+def save_point_cells(points: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
+    """One line a point, in order of ``id``: its cell. ``points``: (id, cell array)."""
+    _text(points.repartitionByRange("id").sortWithinPartitions("id").select(F.array_join(F.col("cell").cast("array<string>"), sep).alias("value")), path, mode)
+
+
+def save_cell_features(cells: DataFrame, path: str, features: list[str], sep: str = ",", mode: str = "error") -> None:
+    """Lines of a cell and its average features."""
+    line = F.concat_ws(sep, F.array_join(F.col("cell").cast("array<string>"), sep), *[F.col(f).cast("string") for f in features])
+    _text(cells.select(line.alias("value")), path, mode)
+
+
 def _text(df: DataFrame, path: str, mode: str) -> None:
     w = df.write.mode(mode)
     (w.option("compression", "gzip") if path.endswith(".gz") else w).text(path)

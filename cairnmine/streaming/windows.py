@@ -50,16 +50,21 @@ def eigenpulse(win: DataFrame, user: str, item: str, time_bin: str, v: str | Non
         pdf = pdf.sort_values(["u", "c"])
         us, i = np.unique(pdf["u"].to_numpy(str), return_inverse=True)
         cs, j = np.unique(pdf["c"].to_numpy(str), return_inverse=True)
-        a = np.zeros((len(us), len(cs)))
-        a[i, j] = pdf["v"]
-        x, _, y = first_pair(a, seed=seed)
+        v = pdf["v"].to_numpy(float)
+        x, _, y = first_pair(i, j, v, (len(us), len(cs)), seed=seed)
         r, c = np.abs(x) >= 1 / np.sqrt(len(us)), np.abs(y) >= 1 / np.sqrt(len(cs))
         n = int(r.sum() + c.sum())
-        return pd.DataFrame({"win": [pdf["win"].iloc[0]], "n_users": [int(r.sum())], "n_columns": [int(c.sum())], "density": [round(float(a[np.ix_(r, c)].sum()) / n, 2) if n else 0.0]})
+        return pd.DataFrame({"win": [pdf["win"].iloc[0]], "n_users": [int(r.sum())], "n_columns": [int(c.sum())], "density": [round(float(v[r[i] & c[j]].sum()) / n, 2) if n else 0.0]})
 
     return cells.groupBy("win").applyInPandas(run, "win long, n_users long, n_columns long, density double")
 
 
+def columns_of(found: DataFrame, key: str = "c") -> DataFrame:
+    """Composite columns ``item:time`` as (item, time) again; the other columns stay."""
+    parts = F.split(key, ":(?=[^:]*$)")
+    return found.select(*[c for c in found.columns if c != key], parts[0].alias("item"), parts[1].alias("time"))
+
+
 def stream_density(events: DataFrame, time: str, user: str, item: str, width: str, stride: str, late: str = "10 minutes") -> DataFrame:
     """The same densities on a stream: late rows are waited for, user and item counts are approximate as exact distinct
     counts aren't available on streams."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnmine.functions import linalg
 from cairnmine.operators import generators, graph, stats
-from cairnmine.plans import eaglemine, flow, holoscope, peel, summarize, tasks, timeseries
+from cairnmine.plans import eaglemine, flow, holoscope, laws, peel, summarize, tasks, timeseries
 from cairnmine.streaming import monlad, windows
 
 
@@ -78,7 +78,13 @@ def test_singular_values(spark):
     g, h = linalg.sketch(a, np.eye(20))
     q, b = linalg.from_sketch(g, h, np.eye(20))
     np.testing.assert_allclose(q @ b, a, atol=1e-8)
-    assert abs(linalg.first_pair(a, l=20)[1] - s[0]) < 1e-6
+    i, j = np.nonzero(a)
+    assert abs(linalg.first_pair(i, j, a[i, j], a.shape, l=20)[1] - s[0]) < 1e-6
+    sliding = linalg.SlidingSketch(a.shape[1], 2, l=20)
+    for chunk in (a * 5, a[:7], a[7:]):
+        sliding.push(chunk)
+    u, top, v = sliding.first_pair()
+    assert abs(top - s[0]) < 1e-6 and abs(abs(u @ a @ v) - s[0]) < 1e-6
 
 
 def plain_flow(edges, a, alpha, end):
@@ -268,11 +274,59 @@ def test_goodness_of_fit():
     rng = np.random.RandomState(3)
     x = rng.normal(size=300)
     x = x[x > -1]
-    assert eaglemine.truncated_gof(x, 0, 1, -1) > 0.02 and eaglemine.truncated_gof(np.exp(x * 2), 0, 1, -1) < 0.02
+    assert laws.truncated_p(x, 0, 1, -1) > 0.02 and laws.truncated_p(np.exp(x * 2), 0, 1, -1) < 0.02
+    for statistic in (laws.quadratic_ad, laws.supremum_ad, lambda z, h: laws.supremum_ad(z, h, "less", True)):
+        assert laws.truncated_p(x, 0, 1, -1, statistic) > 0.02 and laws.truncated_p(x * 2, 0, 1, -2, statistic) < 0.05
     assert eaglemine.weighted_ad(x, np.ones(len(x))) > 0
     assert eaglemine.chi2_tail(5.991, 2) == pytest.approx(0.05, abs=1e-3) and eaglemine.chi2_tail(7.815, 3) == pytest.approx(0.05, abs=1e-3)
 
 
+def test_box_probabilities():
+    cov = np.array([[2.0, 0.7], [0.7, 1.0]])
+    grid = np.array([(a, b) for a in range(-12, 12) for b in range(-10, 10)], float)
+    p = laws.rectangle(grid, grid + 1, [0.3, -0.2], cov)
+    assert p.sum() == pytest.approx(1, abs=1e-6)
+    x = np.random.RandomState(1).multivariate_normal([0.3, -0.2], cov, 200_000)
+    inside = ((x >= [0, -1]) & (x < [1, 0])).all(axis=1).mean()
+    assert laws.rectangle([[0, -1]], [[1, 0]], [0.3, -0.2], cov)[0] == pytest.approx(inside, abs=0.004)
+    assert laws.rectangle([[-np.inf, 0, 0]], [[np.inf, np.inf, np.inf]], np.zeros(3), np.eye(3))[0] == pytest.approx(0.25, abs=1e-6)
+
+
+def test_truncated_and_mixed_fits():
+    rng = np.random.RandomState(5)
+    counted = lambda x: (lambda t: (np.array(list(t.index), float), t.to_numpy(float)))(pd.DataFrame(np.floor(x).astype(int)).value_counts())
+    x = rng.multivariate_normal([1.0, 4.0], [[6.0, 1.0], [1.0, 2.0]], 30_000)
+    left, n = counted(x[(x >= 0).all(axis=1)])
+    found = laws.fit_truncated(left, n)
+    assert np.allclose(found.means[0], [1.0, 4.0], atol=0.8) and np.allclose(np.diag(found.covs[0]), [6.0, 2.0], rtol=0.35)
+    assert found.loss(left, n) < laws.fit_normal(left, n).loss(left, n) and len(found.parameters()) == 5
+    two = np.concatenate([rng.normal((6, 6), 1.5, (6000, 2)), rng.normal((16, 12), 1.0, (2000, 2))])
+    left, n = counted(two[(two >= 0).all(axis=1)])
+    for low in (None, 0.0):
+        mixed = laws.fit_mixture(left, n, 2, low)
+        order = np.argsort(mixed.means[:, 0])
+        assert np.allclose(mixed.means[order], [[6, 6], [16, 12]], atol=0.3) and np.allclose(mixed.weights[order], [0.75, 0.25], atol=0.03)
+        assert laws.is_truncated(left, n, mixed, alpha=0.01)
+    tail = counted(np.exp(rng.normal(size=(5000, 2))) * 2)
+    assert not laws.is_truncated(*tail, laws.fit_truncated(*tail), alpha=0.01)
+    own = mixed.probability(left, left + 1)
+    one = laws.description_length(n, np.zeros(len(n), int), own, [mixed], (20, 20))
+    assert one < laws.description_length(n, np.full(len(n), -1), own, [], (20, 20))
+
+
+def test_islands_merge_by_loss_and_have_a_heavy_path():
+    cells = {(a, b): int(1 + 400 * np.exp(-((a - 8) ** 2 + (b - 8) ** 2) / 8)) for a in range(17) for b in range(17)}
+    half = [eaglemine.Island(frozenset(c for c in cells if (c[0] < 8) == side), 1.0) for side in (True, False)]
+    far = eaglemine.Island(frozenset((a + 60, b) for a in range(4) for b in range(4)), 1.0)
+    n = cells | {c: 50 for c in far.cells}
+    merged = eaglemine.merge_by_loss([*half, far], n)
+    assert sorted(len(i.cells) for i, _ in merged) == [16, 289]
+    tree = eaglemine.level_tree({c: math.log2(1 + v) for c, v in n.items()}, step=1.0)
+    path = eaglemine.heavy_path(tree, n)
+    assert (8, 8) in path[-1].cells and all(b.cells < a.cells for a, b in zip(path, path[1:]))
+    assert len(eaglemine.describe(tree, n)) >= len(path)
+
+
 def test_segments_of_two_patterns(spark):
     t = np.arange(20)
     a, b = np.sin(t / 20 * 2 * np.pi), (t > 10) * 3.0
@@ -305,6 +359,70 @@ def test_reconstruction_and_metrics(spark):
     assert m.auc_roc > 0.95 and 0 < m.best_f1 <= 1
 
 
+def split_one_by_one(acct, mid, most):
+    """Components by search; each too large one loses its middle of largest degree."""
+    left, gone = list(zip(acct.tolist(), mid.tolist())), set()
+    degree = {m: sum(x == m for x in mid.tolist()) for m in set(mid.tolist())}
+    while True:
+        graph_ = {}
+        for a, m in left:
+            graph_.setdefault(("a", a), set()).add(("m", m))
+            graph_.setdefault(("m", m), set()).add(("a", a))
+        seen, large = set(), []
+        for x in graph_:
+            if x not in seen:
+                todo, part = [x], set()
+                while todo:
+                    y = todo.pop()
+                    if y not in part:
+                        part.add(y)
+                        todo += graph_[y]
+                seen |= part
+                if len(part) > most:
+                    large.append(part)
+        if not large:
+            return gone
+        drop = {max((m for k, m in part if k == "m"), key=lambda m: (degree[m], -m)) for part in large}
+        gone |= drop
+        left = [(a, m) for a, m in left if m not in drop]
+
+
+def test_splitting_takes_middles_as_step_by_step():
+    rng = np.random.RandomState(8)
+    for most in (3, 6, 12, 100):
+        pairs = np.unique(np.stack([rng.randint(0, 25, 60), rng.randint(0, 20, 60)], axis=1), axis=0)
+        assert set(flow.split_middles(pairs[:, 0], pairs[:, 1], most).tolist()) == split_one_by_one(pairs[:, 0], pairs[:, 1], most)
+
+
+def test_limits_of_one_task_are_checked(spark, monkeypatch):
+    e = planted(spark, 2)
+    for module in (peel, flow, summarize):
+        monkeypatch.setattr(module, "MOST_EXACT", 10)
+    for run in (lambda: peel.fraudar(e), lambda: peel.symmetric(e), lambda: summarize.kgrass(e, 4), lambda: flow.flowscope(e.withColumn("layer", F.lit(0)))):
+        with pytest.raises(ValueError):
+            run()
+    assert peel.fraudar(e, mode="batch").count() > 0
+    with pytest.raises(ValueError):
+        peel.fraudar(e, mode="auto")
+
+
+def test_undirected_block_and_tensor_candidates(spark):
+    e = planted(spark, 3).select("src", (F.col("dst") + 1000).alias("dst"), "w")
+    found = {r.id for r in peel.specgreedy_undirected(e, 3).collect()}
+    assert len(found & (set(range(12)) | set(range(1000, 1012)))) >= 20
+    t = e.withColumn("tbin", F.when((F.col("src") < 12) & (F.col("dst") < 1012), 0).otherwise(F.col("src") % 7))
+    users = {r.id for r in holoscope.holoscope(e, n_vectors=2, tensor=(t, ["tbin"])).where("kind = 'row'").collect()}
+    assert len(users & set(range(12))) >= 10
+
+
+def test_fit_and_predict(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 2.0 * (i % 5), 1.0]) for i in range(40)], "id long, v array<double>")
+    model = tasks.reconstruction(k=2)
+    with pytest.raises(ValueError):
+        model.predict(v)
+    assert model.fit(v).predict(v).count() == 40
+
+
 def test_tasks(spark):
     e = planted(spark, 2)
     assert tasks.Task("anomaly_detection", "fraudar", e).run(k=1, mode="exact").count() > 0

@@ -77,6 +77,12 @@ def test_text_round_trips(spark, tmp_path):
     assert writers.load_blocks(spark, p("blocks")).count() == 2
 
 
+def test_headers_are_found(spark, tmp_path):
+    for name, text, want in (("a", "id,price\n1,2.5\n", True), ("b", "1,2.5\n3,4\n", False), ("c", "# note\n\nname,1\n", False)):
+        (tmp_path / name).write_text(text)
+        assert readers.sniff_header(spark, str(tmp_path / name)) == want
+
+
 def test_stream_reader(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("1 2\n3 4\n")
