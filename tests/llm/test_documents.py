@@ -296,6 +296,68 @@ def test_evidence_decides_where_text_is_silent(spark):
     assert [got[i] for i in (1000, 1001, 1002, 1003)] == ["de", "de", "de", "en"]
 
 
+def plain_language(model, rows):
+    """(lang, posterior) of rows (text, declared, host, suffix), one by one."""
+    names, k = model.languages, len(model.languages)
+    found = []
+    for t, *_ in rows:
+        b = [x + 32 if 65 <= x <= 90 else x for x in (t or "").encode()]
+        b = [x if x >= 128 or 97 <= x <= 122 else 32 for x in b]
+        b = [x for i, x in enumerate(b) if not i or x != 32 or b[i - 1] != 32]
+        codes = [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761) % 2**32) >> 17 for i in range(len(b) - 2)]
+        ll = [sum(float(model.table[c, j]) for c in codes) / max(1, len(codes)) for j in range(k)]
+        found.append((len(codes), ll, int(np.argmax(ll)) if codes else -1))
+    label = [f[2] for f in found]
+    say = [d if d in names else None if d is None else "?" for _, d, *_ in rows]
+    out = []
+    for i, (_, _, host, suffix) in enumerate(rows):
+        total = [label.count(j) for j in range(k)]
+        p = [(t + 1) / (sum(total) + k) for t in total]
+        for at, strength in ((3, language_id.SUFFIX_STRENGTH), (2, language_id.HOST_STRENGTH)):
+            same = [label[o] for o in range(len(rows)) if o != i and rows[i][at] is not None and rows[o][at] == rows[i][at] and label[o] >= 0]
+            p = [(same.count(j) + strength * p[j]) / (len(same) + strength) for j in range(k)]
+        n, ll, _ = found[i]
+        log = [np.log(p[j]) + language_id.TEXT_WEIGHT * min(n, language_id.MOST_TRIGRAMS) * ll[j] for j in range(k)]
+        if say[i] is not None:
+            for j in range(k):
+                own = sum(s == say[i] and x == j for s, x in zip(say, label))
+                log[j] += np.log((own + language_id.ALPHA) / (sum(s is not None and x == j for s, x in zip(say, label)) + language_id.ALPHA * (k + 1)))
+        best = int(np.argmax(log))
+        out.append((names[best], 1 / sum(np.exp(x - log[best]) for x in log)))
+    return out
+
+
+def test_language_posteriors_against_plain_python(spark):
+    rng = random.Random(9)
+    words = {"aa": ["abak", "odal", "mur", "tel"], "bb": ["fyrx", "qwol", "zzud", "hex"], "cc": ["nimi", "lolo", "pupe", "ryry"]}
+    rows = []
+    for i in range(120):
+        own = rng.choice("abc") * 2
+        text = " ".join(rng.choices(words[own], k=rng.choice([1, 2, 5, 30])))
+        rows.append((None if i % 31 == 0 else text, rng.choice([own, own, own, "bb", "xx", None]), rng.choice(["h1", f"h{own}", None]), rng.choice(["s1", f"s{own}", None])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, declared string, host string, suffix string")
+    hashed = df.withColumn("h", F.xxhash64("text"))
+    model = language_id.learn(hashed)
+    got = {r.id: (r.lang, r.posterior) for r in language_id.identify(df, model).collect()}
+    want = plain_language(model, rows)
+    assert len(got) == len(rows)
+    for i, (lang, posterior) in enumerate(want):
+        assert got[i][1] == pytest.approx(posterior, rel=1e-6) and (got[i][0] == lang or posterior < 0.5001)
+
+
+def test_pipeline_near_dedup_and_decontaminate_against_brute_force(spark, sf):
+    from test_near_dedup import brute
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    group = brute(texts, 5)
+    assert sorted(r.doc_id for r in stages["near_dedup"](spark, docs, sf).collect()) == sorted(i for i, _ in texts if group[i][1] == i)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaked = {d for d, *_ in plain_contained(texts, items)}
+    assert leaked and {r.doc_id for r in stages["decontaminate"](spark, docs, sf).collect()} == {i for i, _ in texts} - leaked
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_dedup", "decontaminate", "pack"]
