@@ -128,12 +128,17 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("w").alias("s"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("s")).alias("p")))
-    linked = out.select(F.col("src").alias("id"))
+    ends = cut(nodes.join(out.select(F.col("src").alias("id")), "id", "left_anti"))  # nodes without a way out, found once
+    dangling = ends.limit(1).count() > 0
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         got = share.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("g"))
-        lost = rank.join(linked, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = nodes.join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
+        new = nodes.join(got, "id", "left")
+        if dangling:
+            lost = rank.join(ends, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            new = new.crossJoin(F.broadcast(lost))  # one row
+        else:
+            new = new.withColumn("lost", F.lit(0.0))
         rank = cut(new.select("id", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
     return rank
 
