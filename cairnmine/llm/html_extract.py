@@ -50,7 +50,9 @@ HEADER_WORDS = frozenset("header masthead banner".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container footnote form global icons inner item left link links list message page panel policy primary right secondary section site slot top unit user wrap wrapper".split())
 PHRASES = re.compile(r"all rights reserved|©|\bcopyright\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\b(?:accept|use|uses) cookies\b|\bsubscribe (?:to|now)\b|\bnewsletter\b|\bsign (?:up|in) \b|\blog in\b|^advertisement\b|\bsponsored (?:by|content|post)\b|\bfollow us\b|\bshare this\b|\brelated (?:posts|articles|stories)\b|\bleave a (?:reply|comment)\b", re.I)
-#: Costs of the classifier, in nats of log-odds for content. PHRASE fades in blocks of over 120 characters.
+#: Words that a text with one of the phrases has.
+KEYS = ("reserved", "©", "copyright", "privacy policy", "terms of", "cookies", "subscribe", "newsletter", "sign ", "log in", "advertisement", "sponsored", "follow us", "share this", "related ", "leave a ")
+#: Costs of the classifier, in nats of log-odds for content. PHRASE fades in blocks of over 120 characters, and is nothing beyond 1,200.
 STRONG, HINT, ARTICLE, GOOD_WORD, PLAIN, PER_CHAR, MOST_LENGTH, LINKS, HEADING, TITLE, OUTSIDE, PHRASE = -9.0, -3.0, 4.0, 2.0, 0.5, 1 / 120, 3.0, -4.0, 0.4, 4.0, -4.0, -4.0
 LEAST_ARTICLE = 200
 #: Capacities of smoothness edges: neighbours in the page, with the same parent, or with parents that share theirs; CHANGE: their
@@ -192,8 +194,10 @@ def blocks(html: str) -> list[Block]:
 def _cost(text: str, e: Element, links: float) -> float:
     """Positive in favour of content."""
     score = PLAIN + min(MOST_LENGTH, len(text) * PER_CHAR) + LINKS * links + e.against + (0.0, GOOD_WORD, ARTICLE)[e.content]
-    if PHRASES.search(text):
-        score += PHRASE * min(1.0, 120 / len(text))
+    if len(text) <= 1200:
+        low = text.lower()
+        if any(k in low for k in KEYS) and PHRASES.search(low):
+            score += PHRASE * min(1.0, 120 / len(text))
     return score + (TITLE if e.tag == "h1" else HEADING if e.tag in ("h2", "h3") else 0.0)
 
 
