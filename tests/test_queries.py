@@ -11,7 +11,7 @@ from cairnmine import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Their operators have tests of their own in test_models.py.
-SLOW = {"cubeflow_plus", "beatlex_segments", "eaglemine_labels", "fraudar_block", "specgreedy_block", "eigenspokes", "spectral_block", "holoscope_block", "holoscope_signals_block", "hits_scores", "core_numbers", "dpgs_summary"}
+SLOW = {"cubeflow_plus", "beatlex_segments", "eaglemine_labels", "fraudar_block", "specgreedy_block", "eigenspokes", "spectral_block", "holoscope_block", "holoscope_signals_block", "dpgs_summary"}
 
 
 @pytest.fixture(scope="module")
