@@ -5,7 +5,9 @@
 2. Independent trees: a root branches on two of the minwise positions, so a node holds the sets that chose the same
    tokens. A node of at most ``LEAF`` sets is compared exhaustively; a larger one branches again on two more positions,
    chosen by a hash of the path. A child with half of its parent's sets is dense (a large group of near copies would
-   never get small): it is dealt into buckets of about ``LEAF`` sets, each of which also gets the node's hubs.
+   never get small), and so is a large one of the last level: it is dealt into buckets of about ``LEAF`` sets, each of
+   which also gets the node's hubs. Components of all trees' edges follow, and what is outside of a dense node's largest
+   component is compared in blocks with all of that node: near sets of one node always end in one component.
    Two sets of similarity s share a given leaf of a tree with probability of about s^2 or a little less; with 16 trees
    and s = 0.8 a pair is missed about once in a million, and a group is found through any of its links.
 3. Comparisons in nodes use a sketch of 128 bytes: two bits of each of 512 minwise tokens, the least hashes of the eight
@@ -35,7 +37,7 @@ from . import text as tx
 from .common import Scratch, components, fraction, per_key
 
 POSITIONS, TREES, DEEPEST = 64, 16, 10
-LEAF, BUCKET, HUBS, BUCKET_SHINGLES = 256, 512, 32, 4_000_000
+LEAF, BUCKET, HUBS, BUCKET_SHINGLES, BLOCK = 256, 512, 32, 4_000_000, 8192
 PARTS, SKETCH = 8, 128
 _A = (tx.mix(np.arange(1, POSITIONS + 1, dtype=tx.U)) >> tx.U(32)).astype(np.uint32) | np.uint32(1)
 _B = (tx.mix(np.arange(1001, POSITIONS + 1001, dtype=tx.U)) >> tx.U(32)).astype(np.uint32)
@@ -66,7 +68,7 @@ def unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def most_unequal(n: np.ndarray) -> np.ndarray:
-    """How many tokens may differ in a pair whose smaller set has n members: equal ones are s + (1 - s) / 4 of all."""
+    """How many tokens may differ in a pair whose smaller set has n members: equal ones are s + (1 - s) / 4 of all. Never grows with n."""
     least = 0.8 - 4.5 * 0.021 - 4 / np.maximum(n, 1)
     return np.floor(POSITIONS * PARTS * 0.75 * (1 - np.maximum(least, 0))).astype(np.int64)
 
@@ -149,6 +151,38 @@ def _leaves(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
+def _blocks(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Comparison by sketch of left rows (u = 2) with rows of their node (u = 1 if outside of its largest component, else 0).
+
+    Two rows outside of it are each other's left rows in two blocks; the one with the lesser id counts.
+    """
+    for t in tables:
+        key = t.column("key").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+        columns = [t.column(c).to_numpy() for c in ("rep", "n", "comp", "u")]
+        sk = _matrix(t.column("sk"), np.uint64, SKETCH // 8)
+        a, b = [], []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            order = s + np.lexsort((columns[0][s:e], -columns[3][s:e]))
+            rep, n, label, u = (c[order] for c in columns)
+            lefts, rest = np.searchsorted(-u, (-2, -1), "right").tolist()
+            words, most = np.ascontiguousarray(sk[order].T), most_unequal(n)
+            first = lefts + np.searchsorted(rep[lefts:rest], rep[:lefts], "right")
+            for i, j in enumerate(first.tolist()):
+                d = words[:, j:] ^ words[:, i : i + 1]
+                far = np.bitwise_count(d[: SKETCH // 16] | d[SKETCH // 16 :]).sum(axis=0, dtype=np.uint16)
+                js = j + np.flatnonzero((far <= np.maximum(most[j:], most[i])) & (label[j:] != label[i]))
+                js = js[10 * np.minimum(n[i], n[js]) >= 8 * np.maximum(n[i], n[js])]
+                if len(js):
+                    found, at = np.unique(label[js], return_index=True)
+                    a.append(np.full(len(found), rep[i]))
+                    b.append(rep[js[at]])
+                    label[np.isin(label, found)] = label[i]
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
 def _near(x: np.ndarray, y: np.ndarray) -> bool:
     """100 * intersection >= 80 * union, on sorted distinct arrays."""
     if len(x) > len(y):
@@ -218,10 +252,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, word_bytes: np.ndarray =
 
 
 def _candidates(scratch: Scratch, reps: DataFrame) -> DataFrame:
-    """Edges between sets that some node compares and whose sketches are near."""
+    """Edges that connect the sets that are in one node and whose sketches are near."""
     rows = "key long, rep long, n long, sk binary"
     level = reps.select("rep", "n", "sig", "sk").mapInArrow(_roots, rows).withColumn("parent_c", F.lit(None).cast("long"))
-    edges, small = [], []
+    edges, small, dense = [], [], []
     for depth in range(DEEPEST + 1):
         counts = level.groupBy("key").agg(F.count("*").alias("c"), F.max("parent_c").alias("p")).where(F.col("c") > LEAF)
         last = depth == DEEPEST
@@ -229,6 +263,7 @@ def _candidates(scratch: Scratch, reps: DataFrame) -> DataFrame:
         small.append(level.join(large, "key", "left_anti").select("key", "rep", "n", "sk"))
         n_large, n_dense = large.agg(F.count("*"), F.count_if("dense")).first()
         if n_dense:
+            dense.append(scratch.write(level.join(large.where("dense"), "key", "left_semi").select("key", "rep").distinct(), f"dense{depth}"))
             node = level.join(large.where("dense"), "key").withColumn("h", F.xxhash64("key", "rep"))
             buckets = F.ceil(F.col("c") / LEAF).cast("int")
             hub = fraction(F.col("h")) < F.lit(HUBS) / F.col("c")
@@ -241,7 +276,29 @@ def _candidates(scratch: Scratch, reps: DataFrame) -> DataFrame:
             break
         node = level.join(large.where("not dense").drop("dense"), "key").select("key", "rep", "c").join(reps.select("rep", "n", "sig", "sk"), "rep")
         level = scratch.write(node.select("key", "rep", "n", "sig", "sk", "c").mapInArrow(_branch, rows + ", parent_c long"), f"level{depth + 1}")
-    return _union(edges)
+    return _with_rest(scratch, reps, _union(edges), _union(dense)) if dense else _union(edges)
+
+
+def _with_rest(scratch: Scratch, reps: DataFrame, edges: DataFrame, dense: DataFrame) -> DataFrame:
+    """Edges, and those that the buckets of dense nodes (key, rep) left out: between any two components of one node."""
+    comps = components(scratch, edges)
+    found = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    state = dense.join(comps.withColumnsRenamed({"id": "rep", "component": "comp"}), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    state = scratch.write(state, "state")
+    sizes = state.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    nodes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", F.negative("comp"))).alias("main"), F.max("k").alias("k"), F.sum("k").alias("c")).where("k < c")
+    nodes = scratch.write(nodes.select("key", "main", F.ceil((F.col("c") - F.col("k")) / BLOCK).alias("blocks"), F.ceil(F.col("c") / BLOCK).alias("buckets")), "nodes")
+    if not nodes.limit(1).count():
+        return found
+    outside = F.col("comp") != F.col("main")
+    own, bucket = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")), F.pmod(F.xxhash64("rep", F.lit(3)), F.col("buckets"))
+    right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), bucket.alias("bucket"), outside.cast("int").alias("u")))
+    left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1), lambda b: F.struct(own.alias("block"), b.alias("bucket"), F.lit(2).alias("u")))
+    rows = state.join(nodes, "key").select("key", "rep", "comp", F.explode(F.when(outside, F.concat(left, right)).otherwise(right)).alias("to"))
+    rows = rows.select(F.xxhash64("key", "to.block", "to.bucket").alias("key"), "rep", "comp", "to.u").join(reps.select("rep", "n", "sk"), "rep")
+    rest = scratch.write(per_key(rows.select("key", "rep", "n", "comp", "u", "sk"), "key", _blocks, "a long, b long"), "rest")
+    scratch.drop(state)
+    return found.unionByName(rest)
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:

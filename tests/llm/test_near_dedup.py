@@ -118,6 +118,36 @@ def test_templates_join_no_blobs(spark):
     assert (far > near_dedup.most_unequal(np.array(190))).all()  # so that blobs are pairs and work grows with the rows
 
 
+def near_templates(n, shared=160, own=40, seed=2):
+    """Pairs barely above the threshold among texts of one template, which are below it."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(n):
+        words = [f"t{k}" for k in range(shared)] + [f"p{i // 2}x{k}" for k in range(own)]
+        for k in range(5, own, 9):
+            words[shared + k] = f"z{rng.randrange(10**9)}" if i % 2 else words[shared + k]
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_dense_nodes_lose_no_pair(spark, monkeypatch):
+    """All sets choose the same ways, so every node is dense; a pair's sets meet in few buckets of it or in none."""
+    for name, v in (("LEAF", 4), ("HUBS", 2), ("BLOCK", 40)):
+        monkeypatch.setattr(near_dedup, name, v, raising=False)
+    rng = np.random.RandomState(9)
+    bases = [rng.randint(1, 2**62, size=200, dtype=np.int64).astype(np.uint64) for _ in range(150)]
+    sets = [np.sort(x) for base in bases for x in (base, np.r_[base[:190], base[:10] + np.uint64(1)])]
+    sig = minwise_of(sets[0])[0]
+    reps = spark.createDataFrame([(i, len(s), bytearray(sig), bytearray(minwise_of(s)[1])) for i, s in enumerate(sets)], "rep long, n long, sig binary, sk binary")
+    scratch = common.Scratch(spark)
+    found = common.components(scratch, near_dedup._candidates(scratch, reps)).collect()
+    assert {r.id: r.component for r in found} == {i: i // 2 * 2 for i in range(300)}
+
+
+def minwise_of(s):
+    return tuple(x.tobytes() for x in near_dedup.minwise(s))
+
+
 def test_sketches_pass_what_is_near():
     rng = np.random.RandomState(4)
     for n in (10, 40, 200, 1000):
