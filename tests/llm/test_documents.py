@@ -358,6 +358,15 @@ def test_pipeline_near_dedup_and_decontaminate_against_brute_force(spark, sf):
     assert leaked and {r.doc_id for r in stages["decontaminate"](spark, docs, sf).collect()} == {i for i, _ in texts} - leaked
 
 
+def test_pipeline_near_dedup_loses_no_pair_of_a_dense_node(spark, sf, monkeypatch):
+    from test_near_dedup import near_templates
+
+    for name, v in (("LEAF", 4), ("HUBS", 2), ("DEEPEST", 1)):
+        monkeypatch.setattr(corpus_pipeline.duplicates, name, v)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in near_templates(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == list(range(0, 300, 2))
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_dedup", "decontaminate", "pack"]
