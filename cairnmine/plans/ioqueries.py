@@ -87,12 +87,17 @@ def _(spark, d):
     return readers.load_values(spark, path)
 
 
+def _five_places(x: F.Column) -> F.Column:
+    """Five decimals; a negative value that rounds to nothing keeps its sign, as in SQL."""
+    return F.when(x.cast("string").startswith("-"), -F.round(-x, 5)).otherwise(F.round(x, 5))
+
+
 @query("io_matrix", "SELECT vec_id AS pos, [round(x::DOUBLE, 5) FOR x IN embedding] AS v FROM embeddings")
 def _(spark, d):
     """Rows keep their order."""
     path = _path(spark, "vectors.txt")
     rows = table(spark, d, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    writers.save_matrix(rows.select(F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 5)).alias("v")), path)
+    writers.save_matrix(rows.select(F.transform(F.col("embedding").cast("array<double>"), _five_places).alias("v")), path)
     return readers.load_matrix(spark, path)
 
 
@@ -141,7 +146,7 @@ def _(spark, d):
 def _(spark, d):
     path = _path(spark, "genes.tsv")
     rows = table(spark, d, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    text = F.concat_ws("\t", F.col("vec_id").cast("string"), F.array_join(F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 5)).cast("array<string>"), "\t"))
+    text = F.concat_ws("\t", F.col("vec_id").cast("string"), F.array_join(F.transform(F.col("embedding").cast("array<double>"), _five_places).cast("array<string>"), "\t"))
     rows.select(text.alias("value")).write.text(path)
     n = rows.count()  # the caller names positions
     return readers.load_stages(spark, path, {"even": range(0, n, 2), "odd": range(1, n, 2)})

@@ -2,10 +2,12 @@ import gzip
 import lzma
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairnmine import catalog
 from cairnmine.functions import encode
 from cairnmine.operators import bursts, series
 from cairnmine.sources import readers, writers
@@ -128,3 +130,12 @@ def test_zip_properties(spark):
     t = spark.createDataFrame([(0, 1, [10, 4000])], "src long, dst long, props array<long>")
     r = spark.createDataFrame([(0, 1, [5, 4])], "src long, dst long, props array<long>")
     assert sorted(tuple(x) for x in bursts.zip_properties(t, r).collect()) == [(0, 1, 0, 5.0, 1.0), (0, 1, 1, 4.0, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["io_matrix", "io_stages"])
+def test_values_that_round_to_nothing_keep_their_sign_as_in_sql(spark, tmp_path, name):
+    rows = [(0, [-0.000002, 0.000002, -0.0, 0.0, -1.5]), (1, [0.123456, -0.123456, -0.000005, 0.25, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.sql(catalog.oracle_sql()[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    got = catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(repr(list(r["v"])) for r in got) == sorted(repr(r[-1]) for r in want)
