@@ -9,8 +9,9 @@ columns; only ``cumprod`` runs a grouped pandas function.
 from __future__ import annotations
 
 import builtins
+import io
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce as fold
 
@@ -26,6 +27,8 @@ from .encode import number, prefix_sums
 
 #: Element types and their Spark counterparts (unsigned bytes and half floats widen).
 DTYPES = {"int8": "byte", "uint8": "short", "short": "short", "int16": "short", "int32": "int", "int64": "long", "float16": "float", "float32": "float", "float64": "double", "complex64": "struct<re:float,im:float>", "complex128": "struct<re:double,im:double>"}
+#: Cells of a block of an array that executors hold as one.
+BLOCK_CELLS = 1 << 16
 _RANK = ["int8", "uint8", "int16", "int32", "int64", "float16", "float32", "float64", "complex64", "complex128"]
 
 
@@ -73,6 +76,37 @@ class Tensor:
         out[tuple(pdf[c].to_numpy() for c in self.idx)] = pdf["v"].to_numpy() if self.ndim else pdf["v"].iloc[0]
         return out
 
+    def to_blocks(self) -> DataFrame:
+        """(lo, data): the array as .npy bytes of about ``BLOCK_CELLS`` cells, cut along the first mode; made by the executors."""
+        n, *rest = self.shape
+        step = max(1, BLOCK_CELLS // max(math.prod(rest), 1))
+        idx, kind = self.idx, self.df.schema["v"].dataType
+        dtype = bool if isinstance(kind, T.BooleanType) else np.int64 if isinstance(kind, T.IntegralType) else float
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            lo = int(pdf["i0"].iloc[0]) // step * step
+            a = np.zeros((builtins.min(step, n - lo), *rest), dtype)
+            a[(pdf["i0"].to_numpy() - lo, *[pdf[c].to_numpy() for c in idx[1:]])] = pdf["v"].to_numpy()
+            out = io.BytesIO()
+            np.save(out, a, allow_pickle=False)
+            return pd.DataFrame({"lo": [lo], "data": [out.getvalue()]})
+
+        return self.df.groupBy(F.floor(F.col("i0") / step)).applyInPandas(run, "lo long, data binary")
+
+    @classmethod
+    def from_blocks(cls, blocks: DataFrame, shape: Sequence[int], dense: bool = True, v: str = "double") -> Tensor:
+        """The tensor of blocks as ``to_blocks`` makes them, decoded block by block by the executors; dense ones hold every block."""
+        names = _idx(len(shape))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for lo, data in zip(pdf["lo"], pdf["data"]):
+                    a = np.load(io.BytesIO(data), allow_pickle=False)
+                    at = np.indices(a.shape).reshape(a.ndim, -1) if dense else np.array(np.nonzero(a)).reshape(a.ndim, -1)
+                    yield pd.DataFrame({c: at[k].astype(np.int64) + (lo if k == 0 else 0) for k, c in enumerate(names)} | {"v": a.reshape(-1) if dense else a[tuple(at)]})
+
+        return cls(blocks.mapInPandas(run, ", ".join([f"{c} long" for c in names] + [f"v {v}"])), tuple(shape), dense)
+
     def astype(self, dtype: str) -> Tensor:
         return self.with_value(F.col("v").cast(DTYPES[dtype]))
 

@@ -29,6 +29,11 @@ def sparse(spark, d, returned=False):
     return t.Tensor.from_columns(l, ["l_suppkey", "l_partkey"], "l_quantity", shape)
 
 
+def _through_numpy(x: t.Tensor) -> t.Tensor:
+    """To numpy arrays and back, block by block: no process holds the whole array."""
+    return t.Tensor.from_blocks(x.to_blocks(), x.shape, x.dense)
+
+
 def _rounded(x: t.Tensor):
     return x.df.select(*x.idx, F.round("v", 6).alias("v"))
 
@@ -132,7 +137,7 @@ for _name, _sql in {"real": "re", "imag": "im", "angle": "atan2(im, re)"}.items(
 query("tensor_conj", f"WITH {_C} SELECT i0, i1, round(-im, 6) + 0 AS v FROM c")(lambda spark, d: dense_value(t.imag(t.conj(_complex(spark, d)))))
 query("tensor_to_sparse", f"WITH {_E} SELECT i0, i1, round(greatest(v, 0), 6) + 0 AS v FROM e WHERE v > 0")(lambda spark, d: dense_value(t.where(dense(spark, d) > 0, dense(spark, d), 0.0).to_sparse()))
 query("tensor_to_dense", f"WITH {_S}, g AS (SELECT i1, sum(v) AS v FROM s GROUP BY 1) SELECT r AS i0, coalesce(v, 0) AS v FROM range((SELECT max(p_partkey) + 1 FROM part)) z(r) LEFT JOIN g ON r = i1")(lambda spark, d: t.sum(sparse(spark, d), 0).to_dense().df)
-query("tensor_from_numpy", f"WITH {_E} SELECT i0, i1, v FROM e")(lambda spark, d: t.Tensor.from_numpy(spark, dense(spark, d).to_numpy()).df)
+query("tensor_from_numpy", f"WITH {_E} SELECT i0, i1, v FROM e")(lambda spark, d: _through_numpy(dense(spark, d)).df)
 query("tensor_unique_inverse", f"WITH {_E}, f AS (SELECT i0, i1, floor(v * 100) AS v FROM e) SELECT i0, i1, dense_rank() OVER (ORDER BY v) - 1 AS v FROM f")(lambda spark, d: t.unique_inverse(t.floor(dense(spark, d) * 100)).df)
 _FLAT = f"WITH {_E}, f AS (SELECT i0 * 64 + i1 AS i0, v FROM e)"
 query("tensor_cumsum_flat", f"{_FLAT} SELECT i0, round(sum(v) OVER (ORDER BY i0), 6) + 0 AS v FROM f")(lambda spark, d: dense_value(t.cumsum(dense(spark, d))))

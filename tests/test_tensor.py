@@ -1,3 +1,5 @@
+import io
+
 import numpy as np
 import pytest
 
@@ -137,3 +139,24 @@ def test_duplicates_are_summed(spark):
     x = t.Tensor.from_columns(df, ["a", "b"], "w")
     assert x.shape == (3, 2)
     same(x, [[0, 5], [0, 0], [1, 0]])
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_numpy_blocks_there_and_back(spark, dense, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK_CELLS", 8)
+    a = np.arange(2.0, 44.0).reshape(7, 2, 3) * (np.arange(42).reshape(7, 2, 3) % 3 > 0)
+    x = t.Tensor.from_numpy(spark, a, dense)
+    blocks = x.to_blocks().collect()
+    assert sorted(b.lo for b in blocks) == list(range(7)) and all(np.load(io.BytesIO(b.data)).shape == (1, 2, 3) for b in blocks)
+    back = t.Tensor.from_blocks(x.to_blocks(), a.shape, dense)
+    assert (back.to_numpy() == a).all() and back.df.count() == x.df.count()
+
+
+def test_tensor_from_numpy_keeps_the_array_off_the_driver(spark, sf, monkeypatch):
+    from cairnmine import catalog
+
+    def refused(*_):
+        raise AssertionError("the whole array came to the driver")
+
+    monkeypatch.setattr(t.Tensor, "to_numpy", refused)
+    assert catalog.queries()["tensor_from_numpy"](spark, sf).count() == 64 * spark.read.parquet(f"{sf}/embeddings.parquet").count()
