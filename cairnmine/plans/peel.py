@@ -1,23 +1,22 @@
 """Density peeling of bipartite graphs.
 
-The mode is the caller's choice and never follows the size. ``exact`` removes one node at a time in one task; it refuses graphs
-of more than ``MOST_EXACT`` edges (counted). ``batch`` peels in distributed rounds that remove every node of less than
+The mode is the caller's choice and never follows the size. ``exact`` removes one node at a time in one task, whose memory grows
+with the nodes and not with the edges (``removal``); it refuses graphs of more than ``MOST_EXACT`` edges (counted). ``batch`` peels in distributed rounds that remove every node of less than
 (1 + eps) times the density: its result is at least 1 / (2 + 2 eps) of the best density, and is not the exact mode's.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..tables import cut, in_one_task
+from ..tables import cut
+from . import removal
 
-MOST_EXACT = 2_000_000
+#: Edges on the disk of the one task, 16 bytes for each end.
+MOST_EXACT = 2_000_000_000
 
 
 def peel_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, most: int = -1) -> tuple[np.ndarray, np.ndarray, float]:
@@ -28,49 +27,25 @@ def peel_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, most: int = -1)
     rows, r = np.unique(src, return_inverse=True)
     cols, c = np.unique(dst, return_inverse=True)
     nr, n = len(rows), len(rows) + len(cols)
-    ends = np.concatenate([r, c + nr])
-    other, weight = np.concatenate([c + nr, r]), np.concatenate([w, w])
-    order = np.argsort(ends, kind="stable")
-    first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
-    other, weight = other[order].tolist(), weight[order].tolist()
-    deg = np.bincount(ends, np.concatenate([w, w]), n).tolist()
-    heap = [(d, i) for i, d in enumerate(deg)]
-    heapq.heapify(heap)
-    alive, total, left = [True] * n, float(w.sum()), n
-    best, best_left = (total / n if n and (most <= 0 or n <= most) else -np.inf), n
-    gone: list[int] = []
-    while heap:
-        d, i = heapq.heappop(heap)
-        if not alive[i] or d != deg[i]:
-            continue
-        alive[i] = False
-        gone.append(i)
-        left -= 1
-        total -= d
-        for k in range(first[i], first[i + 1]):
-            j = other[k]
-            if alive[j]:
-                deg[j] -= weight[k]
-                heapq.heappush(heap, (deg[j], j))
-        if left and total / left > best + 1e-12 and (most <= 0 or left <= most):
-            best, best_left = total / left, left
-    keep = np.ones(n, bool)
-    keep[gone[: n - best_left]] = False
-    return rows[keep[:nr]], cols[keep[nr:]], float(best)
-
-
-def _table(rows, cols, density: float) -> pd.DataFrame:
-    return pd.DataFrame({"kind": ["row"] * len(rows) + ["col"] * len(cols), "id": np.concatenate([rows, cols]).astype(np.int64), "density": density})
+    ends, other, weight = np.concatenate([r, c + nr]), np.concatenate([c + nr, r]), np.concatenate([w, w])
+    order = np.lexsort((other, ends))
+    adj = removal.Adjacency(n)
+    adj.add(ends[order], other[order], weight[order])
+    adj.close()
+    keep, best = removal.peel(adj, np.bincount(ends, weight, n), float(w.sum()), most)
+    return rows[keep[:nr]], cols[keep[nr:]], best
 
 
 def exact(edges: DataFrame, most: int = -1) -> DataFrame:
     """(kind, id, density) of ``edges`` (src, dst, w)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["src", "dst"])
-        return _table(*peel_arrays(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["w"].to_numpy(), most))
-
-    return in_one_task(edges.select("src", "dst", "w"), MOST_EXACT, "exact peeling").groupBy("_g").applyInPandas(run, "kind string, id long, density double")
+    e = removal.checked(edges.select("src", "dst", "w"), MOST_EXACT, "exact peeling")
+    ends = e.select(F.lit(0).alias("side"), F.col("src").alias("id")).distinct().unionByName(e.select(F.lit(1).alias("side"), F.col("dst").alias("id")).distinct())
+    nodes, n = removal.numbered(ends, ["side", "id"])
+    u = nodes.where("side = 0").select(F.col("id").alias("src"), F.col("k").alias("u"))
+    v = nodes.where("side = 1").select(F.col("id").alias("dst"), F.col("k").alias("v"))
+    found = removal.peeled(e.join(u, "src").join(v, "dst").select("u", "v", F.col("w").cast("double").alias("w")), n, most)
+    kind = F.when(F.col("side") == 0, "row").otherwise("col").alias("kind")
+    return nodes.join(found, "k").select(kind, F.col("id").cast("long").alias("id"), "density")
 
 
 def batch(edges: DataFrame, eps: float = 1.0) -> DataFrame:
@@ -118,38 +93,12 @@ def fraudar(edges: DataFrame, k: int = 1, weights: str = "log", most: int = -1,
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """(id, density) of the densest subgraph of one node set: density is weight over nodes. Exact, so in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        ids, ends = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        a, b = np.split(ends.reshape(-1), 2)
-        adj: list[dict[int, float]] = [{} for _ in ids]
-        for i, j, w in zip(a.tolist(), b.tolist(), pdf["w"].tolist()):
-            adj[i][j] = adj[j][i] = w
-        deg = [sum(x.values()) for x in adj]
-        heap = [(d, i) for i, d in enumerate(deg)]
-        heapq.heapify(heap)
-        alive, total, left, gone = [True] * len(ids), float(pdf["w"].sum()), len(ids), []
-        best, best_left = total / max(left, 1), left
-        while heap:
-            d, i = heapq.heappop(heap)
-            if not alive[i] or d != deg[i]:
-                continue
-            alive[i] = False
-            gone.append(i)
-            left, total = left - 1, total - d
-            for j, w in adj[i].items():
-                if alive[j]:
-                    deg[j] -= w
-                    heapq.heappush(heap, (deg[j], j))
-            if left and total / left > best + 1e-12:
-                best, best_left = total / left, left
-        keep = np.ones(len(ids), bool)
-        keep[gone[: len(ids) - best_left]] = False
-        return pd.DataFrame({"id": ids[keep], "density": best})
-
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w"))
-    return in_one_task(e, MOST_EXACT, "exact peeling").groupBy("_g").applyInPandas(run, "id long, density double")
+    e = removal.checked(e, MOST_EXACT, "exact peeling")
+    nodes, n = removal.numbered(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"])
+    u, v = nodes.select(F.col("id").alias("a"), F.col("k").alias("u")), nodes.select(F.col("id").alias("b"), F.col("k").alias("v"))
+    found = removal.peeled(e.join(u, "a").join(v, "b").select("u", "v", F.col("w").cast("double").alias("w")), n)
+    return nodes.join(found, "k").select(F.col("id").cast("long").alias("id"), "density")
 
 
 def specgreedy(edges: DataFrame, rounds: int = 1, k: int = 3, weights: str = "log", delete: str = "edge", mode: str = "exact") -> DataFrame:

@@ -446,3 +446,16 @@ def test_whole_tables_are_summarised(spark, sf):
     assert len(member) == n_s + n_p and len({r["super"] for r in member}) == 12
     found = catalog.queries()["cube_component_score"](spark, sf).collect()
     assert [sum(r[c] for r in found) for c in ("n_a", "n_m", "n_c")] == [n_s, n_p, n_c]
+
+
+@pytest.mark.parametrize("way", ["exact", "symmetric", "flow"])
+def test_exact_peeling_takes_more_than_two_million_edges(spark, way):
+    """A complete graph between 1,001 and 2,000 nodes is its own densest part."""
+    e = spark.range(2_002_000).select((F.col("id") % 1001).alias("src"), (F.floor(F.col("id") / 1001) + 5000).alias("dst"), F.lit(2.0).alias("w"))
+    if way == "flow":
+        both = e.select(F.lit(0).alias("layer"), "src", "dst", "w").unionByName(e.select(F.lit(1).alias("layer"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(2.0).alias("w")).where("dst < 3"))
+        found = flow.flowscope(both)
+        assert {r.layer for r in found.select("layer").distinct().collect()} == {0, 1, 2}
+    else:
+        found = (peel.exact if way == "exact" else peel.symmetric)(e)
+        assert found.count() == 3001 and abs(found.first().density - 2 * 2_002_000 / 3001) < 1e-9
