@@ -459,3 +459,11 @@ def test_exact_peeling_takes_more_than_two_million_edges(spark, way):
     else:
         found = (peel.exact if way == "exact" else peel.symmetric)(e)
         assert found.count() == 3001 and abs(found.first().density - 2 * 2_002_000 / 3001) < 1e-9
+
+
+def test_flow_peel_of_wide_nodes_against_plain_python(monkeypatch):
+    """The same with all edges of a node taken at once, as those of nodes with many are."""
+    from cairnmine.plans import removal
+
+    monkeypatch.setattr(removal, "FEW", 0)
+    test_flow_peel_against_plain_python(1.0, 0.8, 1.0)
