@@ -467,3 +467,27 @@ def test_flow_peel_of_wide_nodes_against_plain_python(monkeypatch):
 
     monkeypatch.setattr(removal, "FEW", 0)
     test_flow_peel_against_plain_python(1.0, 0.8, 1.0)
+
+
+def test_neighbours_tie_by_rounded_similarity_as_in_sql(spark, tmp_path):
+    """Similarities that differ beyond the sixth place only: SQL ranks what is rounded, then ids."""
+    import duckdb
+
+    from cairnmine import catalog
+
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, 0.1 + (9 - i) * 1e-8]) for i in range(1, 9)] + [(9, [-1.0, 0.5]), (20, [0.5, 0.25])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("cosine_topk", "pearson_pairs"):
+        want = duckdb.sql(catalog.oracle_sql()[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+        got = [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+        assert len(want) and sorted(got) == sorted(want)
+
+
+def test_similarities_of_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [1.0, 2.0, 3.0]), (0, [5.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = graph.similarities(v, v.where("id = 1"), digits=6).collect()
+    assert sorted((r.id, r.similarity) for r in got if r.similarity is not None) == [(0, round(14 / (26**0.5 * 20**0.5), 6)), (0, 1.0)]
+    assert sorted(r.id for r in got if r.similarity is None) == [2, 3, 4, 5]
+    top = graph.top_neighbours(v, v.where("id = 1"), 3, digits=6).collect()
+    assert [r.id for r in top] == [0, 0, 2] and top[2].similarity is None
