@@ -491,3 +491,14 @@ def test_similarities_of_odd_vectors(spark):
     assert sorted(r.id for r in got if r.similarity is None) == [2, 3, 4, 5]
     top = graph.top_neighbours(v, v.where("id = 1"), 3, digits=6).collect()
     assert [r.id for r in top] == [0, 0, 2] and top[2].similarity is None
+
+
+def test_chunks_of_a_group_do_not_depend_on_other_groups(spark, monkeypatch):
+    monkeypatch.setattr(summarize, "CHUNK", 8)
+    alike = lambda n, m, at: [(at + i, at + 1000 + j, 1.0) for i in range(n) for j in range(m)]
+    both = lambda rows: spark.createDataFrame(rows + [(d, s, w) for s, d, w in rows], "src long, dst long, w double")
+    small, large = alike(4, 6, 0), alike(20, 30, 10_000)
+    alone = {r.id: r["super"] for r in summarize.dpgs(both(small), rounds=1)[0].collect()}
+    beside = {r.id: r["super"] for r in summarize.dpgs(both(small + large), rounds=1)[0].collect()}
+    assert len(set(alone.values())) < len(alone) and alone == {i: s for i, s in beside.items() if i < 10_000}
+    assert all(list(beside.values()).count(s) <= 8 for s in set(beside.values()))
