@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,17 +75,37 @@ def sink_bursts(edges: DataFrame, end: float, wait: float = 12 * 3600, bins="aut
     ``edges``: (src, dst, ts). A sink's times are first counted by second, so what one task gets for a sink is bounded by
     the seconds that the data span, not by its events.
     """
-    per = edges.groupBy(F.col("dst").alias("sink"), F.col("ts").cast("double").alias("ts")).agg(F.count("*").alias("c"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.repeat(pdf["ts"].to_numpy(), pdf["c"].to_numpy())
-        if len(ts) < 2:
-            return pd.DataFrame({c: [] for c in ("sink", "n", "t_mean", "t_std", "bursts", "slope", "fall")})
-        slope, fall = drop_of(ts, end, wait, bins)
-        b = [dict(zip(("l", "r", "height", "slope"), x)) for x in bursts_of(ts, bins)]
-        return pd.DataFrame({"sink": [pdf["sink"].iloc[0]], "n": [len(ts)], "t_mean": [ts.mean()], "t_std": [ts.std()], "bursts": [b], "slope": [slope], "fall": [fall]})
-
-    return per.groupBy("sink").applyInPandas(run, "sink long, n long, t_mean double, t_std double, bursts array<struct<l:double,r:double,height:double,slope:double>>, slope double, fall double")
+    per = edges.groupBy(F.col("dst").cast("long").alias("sink"), F.col("ts").cast("double").alias("ts")).agg(F.count("*").alias("c"))
+    names = ("sink", "n", "t_mean", "t_std", "bursts", "slope", "fall")
+
+    def sinks(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        none, sink, ts, c = (np.concatenate(x) for x in zip(*parts))
+        at = np.concatenate([[0], np.flatnonzero(np.diff(sink) | np.diff(none)) + 1, [len(sink)]])
+        rows = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            t = np.repeat(ts[a:b], c[a:b])
+            if len(t) >= 2:
+                found = [dict(zip(("l", "r", "height", "slope"), x)) for x in bursts_of(t, bins)]
+                rows.append((None if none[a] else int(sink[a]), len(t), t.mean(), t.std(), found, *drop_of(t, end, wait, bins)))
+        return pd.DataFrame({k: [r[i] for r in rows] for i, k in enumerate(names)}).astype({"sink": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sinks come one after the other; the last one of a batch may go on in the next."""
+        open_: list[tuple[np.ndarray, ...]] = []
+        for pdf in batches:
+            if len(pdf):
+                x = tuple(pdf[k].to_numpy() for k in ("none", "sink", "ts", "c"))
+                same = (x[1] == x[1][-1]) & (x[0] == x[0][-1])
+                k = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+                if k or open_ and (open_[-1][1][-1], open_[-1][0][-1]) != (x[1][0], x[0][0]):
+                    yield sinks([*open_, tuple(y[:k] for y in x)])
+                    open_ = []
+                open_.append(tuple(y[k:] for y in x))
+        if open_:
+            yield sinks(open_)
+
+    rows = per.repartition("sink").select(F.col("sink").isNull().cast("int").alias("none"), F.coalesce("sink", F.lit(0)).alias("sink"), "ts", "c").sortWithinPartitions("none", "sink", "ts")
+    return rows.mapInPandas(run, "sink long, n long, t_mean double, t_std double, bursts array<struct<l:double,r:double,height:double,slope:double>>, slope double, fall double")
 
 
 def burst_share(edges: DataFrame, sinks: DataFrame, users: DataFrame, least: float = 0.5, weighted: bool = True) -> DataFrame:

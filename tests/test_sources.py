@@ -139,3 +139,21 @@ def test_values_that_round_to_nothing_keep_their_sign_as_in_sql(spark, tmp_path,
     want = duckdb.sql(catalog.oracle_sql()[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
     got = catalog.queries()[name](spark, str(tmp_path)).collect()
     assert sorted(repr(list(r["v"])) for r in got) == sorted(repr(r[-1]) for r in want)
+
+
+def test_bursts_of_sinks_across_batches(spark):
+    """Sinks that fill several batches, share one or have one time only, and rows without a sink."""
+    rng = np.random.RandomState(3)
+    times = {s: sorted(rng.randint(0, 10_000, n).tolist()) for s, n in ((5, 40), (6, 1), (7, 2), (None, 9), (0, 25), (8, 3), (9, 7))}
+    e = spark.createDataFrame([(1, s, t) for s, x in times.items() for t in x], "src long, dst long, ts long").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r.sink: r for r in bursts.sink_bursts(e, 1e12).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(got) == set(times) - {6}
+    for s, r in got.items():
+        x = np.array(times[s], float)
+        assert r.n == len(x) and abs(r.t_mean - x.mean()) < 1e-6 and (r.slope, r.fall) == bursts.drop_of(x, 1e12)
+        assert [tuple(b) for b in r.bursts] == bursts.bursts_of(x)
